@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, simhash, topk
 from .common import table
 
 
@@ -13,5 +13,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
-QUERIES = {"op7_decontaminate": op7_decontaminate}
-ORACLE_SQL = {"op7_decontaminate": decontam.ORACLE}
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_top_k": op6_top_k, "op10_near_duplicates": op10_near_duplicates, "op7_decontaminate": op7_decontaminate}
+ORACLE_SQL = {"op6_top_k": topk.ORACLE, "op7_decontaminate": decontam.ORACLE}
