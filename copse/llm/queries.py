@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash, topk
+from . import decontam, htmltext, langid, quality, simhash, topk, toxicity
 from .common import table
 
 
@@ -13,6 +13,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out_of("doc_id")
+    return langid.predict(docs, docs.where(~held_out), held_out=held_out)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.held_out_of("doc_id")
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out), held_out=held_out)
+
+
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -21,5 +40,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_top_k": op6_top_k, "op10_near_duplicates": op10_near_duplicates, "op7_decontaminate": op7_decontaminate}
+QUERIES = {
+    "op1_language": op1_language,
+    "op2_toxicity": op2_toxicity,
+    "op3_page_text": op3_page_text,
+    "op6_top_k": op6_top_k,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_quality": op9_quality,
+    "op10_near_duplicates": op10_near_duplicates,
+}
 ORACLE_SQL = {"op6_top_k": topk.ORACLE, "op7_decontaminate": decontam.ORACLE}
