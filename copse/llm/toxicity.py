@@ -92,7 +92,7 @@ def flat_add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     np.add.at(to.reshape(-1), (rows[:, None] * width + np.arange(width)).reshape(-1), values.reshape(-1))
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = 10, rate: float = 2.0, hidden: float = 0.5, seed: int = 0) -> Model:
+def fit(texts: list[str], labels: list[int], *, epochs: int = 10, rate: float = 0.2, hidden: float = 0.5, seed: int = 0) -> Model:
     """Trains vectors and softmax weights together on labelled texts; the bias stays at the odds of a window without words.
 
     A label says that some window of a text is toxic, not which. So each round scores all windows and learns from the
@@ -125,8 +125,10 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 10, rate: float =
     hint = np.where(ones + zeros >= 5, odd, 0.0)
     values = np.add.reduceat(np.append(hint[codes], 0), np.minimum(cut[:-1], len(codes)))
     values = np.where(np.diff(cut) > 0, values / np.maximum(np.diff(cut), 1), 0)
+    heavy = float(np.clip((1 - y).sum() / y.sum(), 1, 3))  # the rarer label weighs more
+    sums = [np.zeros((DIM, 2)), np.zeros(1 << BITS)]
     for epoch in range(epochs):
-        if epoch:
+        if epoch > 2:
             table = model.logits()
             total = np.concatenate([[0.0], np.cumsum(table[codes])])
             values = (total[cut[1:]] - total[cut[:-1]]) / np.maximum(np.diff(cut), 1)
@@ -169,9 +171,17 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 10, rate: float =
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), target[rows]] -= 1
+            p *= np.where(target[rows] == 1, heavy, 1.0)[:, None]
             back = p @ model.weights.T
-            model.weights -= rate * 0.05 * bag.T @ p
-            flat_add(model.vectors, gram, -rate * part[:, None] * back[owner])
+            step = bag.T @ p
+            sums[0] += step**2
+            model.weights -= 0.1 * rate * step / np.sqrt(sums[0] + 1e-8)
+            # AdaGrad, one rate for each n-gram: rare ones move as fast as common ones.
+            some, at_some = np.unique(gram, return_inverse=True)
+            slope = np.zeros((len(some), DIM))
+            flat_add(slope, at_some, part[:, None] * back[owner])
+            sums[1][some] += (slope**2).mean(1)
+            model.vectors[some] -= rate * slope / np.sqrt(sums[1][some] + 1e-8)[:, None]
     return model
 
 
