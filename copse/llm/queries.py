@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, quality, simhash, topk, toxicity
+from . import decontam, htmltext, langid, lm, quality, simhash, topk, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), held_out=lm.held_out_of("doc_id"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
     "op3_page_text": op3_page_text,
+    "op4_lm_score": op4_lm_score,
     "op6_top_k": op6_top_k,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality": op9_quality,
