@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, lm, quality, simhash, topk, toxicity
+from . import decontam, htmltext, idfiles, langid, lm, packing, quality, simhash, topk, toxicity
 from .common import table
 
 
@@ -32,6 +32,14 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held_out=lm.held_out_of("doc_id"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,8 +57,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_page_text": op3_page_text,
     "op4_lm_score": op4_lm_score,
+    "op5_packing": op5_packing,
     "op6_top_k": op6_top_k,
     "op7_decontaminate": op7_decontaminate,
+    "op8_id_files": op8_id_files,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
 }
