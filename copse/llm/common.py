@@ -78,6 +78,20 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Name of the column that row_key() adds; no column of a table should have it.
+KEY = "_copse_key"
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """64 bits for a row's id and text; rows alike in both share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def marked(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """documents with the columns of marks, which has a row for some keys; null where it has none."""
+    return keyed_join(documents.withColumn(KEY, row_key(id_col, text_col)), marks, KEY)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as one large_string array; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

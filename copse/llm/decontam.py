@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import KEY, marked, row_key, stored
 
 #: What stands between words, which are of digits, a-z and all characters beyond ASCII once A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,12 +49,44 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     The window words go to all executors as a set while there are no more than SENT_WORDS distinct ones; beyond that
     every word of the documents is shuffled to its windows instead. Neither way drops anything.
     """
+    wins, vocab, small = benchmark_windows(benchmark, item_col, item_text_col, size)
+    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
+    return (
+        judged(docs, wins, vocab, small)
+        .withColumn("_", times)
+        .select(
+            F.col("_id").alias(id_col),
+            F.col("n_words").cast("long").alias("n_words"),
+            F.size("hit").cast("long").alias("n_hit"),
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+            (F.size("items") >= least_items).alias("contaminated"),
+            "items",
+        )
+    )
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, least_items: int = 2) -> DataFrame:
+    """The rows of documents that hold windows of fewer than least_items items, with all their columns."""
+    wins, vocab, small = benchmark_windows(benchmark, item_col, item_text_col, size)
+    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    bad = stored(judged(docs, wins, vocab, small, True).where(F.size("items") >= least_items).select(F.col("_h").alias(KEY), F.lit(True).alias("_bad")).distinct(), "contaminated")
+    return marked(documents, bad, id_col, text_col).where(F.col("_bad").isNull()).select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, item_text_col: str, size: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The windows, their distinct words, and whether these are few enough to send."""
     wins = windows_of(benchmark, item_col, item_text_col, size)
     vocab = wins.select(F.explode("win").alias("w")).distinct()
-    n_vocab = vocab.limit(SENT_WORDS + 1).count()
-    small = n_vocab <= SENT_WORDS
-    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return wins, vocab, vocab.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+
 
+def judged(docs: DataFrame, wins: DataFrame, vocab: DataFrame, small: bool, only_hits: bool = False) -> DataFrame:
+    """A row (_id, _h, n_words, times, hit, items) for each distinct row (_id, _text) of docs; times: how often it is there.
+
+    only_hits: leaves out rows without any window.
+    """
     # How often each word of a window stands in the documents.
     spread = docs.select(F.explode(words(F.col("_text"))).alias("w"))
     spread = spread.join(F.broadcast(vocab) if small else vocab, "w", "left_semi")
@@ -73,7 +105,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     most = wins.agg(F.max("len")).first()[0] or 1
 
     # A row for each place with such a word, with the words around it; place -1 stands for the document itself.
-    held = docs.select("_id", F.xxhash64("_text").alias("_h"), words(F.col("_text")).alias("ws")).withColumn("n_words", F.size("ws"))
+    held = docs.select("_id", row_key("_id", "_text").alias("_h"), words(F.col("_text")).alias("ws")).withColumn("n_words", F.size("ws"))
     if small:
         hit = lambda w: w.isin(first) if first else F.lit(False)
         places = F.array_compact(F.transform("ws", lambda w, i: F.when(hit(w), i)))
@@ -85,7 +117,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
         lambda i: F.struct(i.alias("i"), F.get("ws", i).alias("w"), start(i).alias("from"), F.slice("ws", start(i) + 1, i - start(i) + most).alias("near")),
     )
     itself = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("near")))
-    rows = held.select("_id", "_h", "n_words", F.explode(F.concat(itself, around)).alias("p")).select("_id", "_h", "n_words", "p.*")
+    rows = held.select("_id", "_h", "n_words", F.explode(around if only_hits else F.concat(itself, around)).alias("p")).select("_id", "_h", "n_words", "p.*")
     begins = F.col("i") - F.col("at")
     alike = F.slice("near", begins - F.col("from") + 1, F.col("len")) == F.col("win")
     found = (
@@ -102,16 +134,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
             F.array_distinct(F.flatten(F.collect_set(span))).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.col("window_items")))))).alias("items"),
         )
-        .withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
-        .select(
-            F.col("_id").alias(id_col),
-            F.col("n_words").cast("long").alias("n_words"),
-            F.size("hit").cast("long").alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-            (F.size("items") >= least_items).alias("contaminated"),
-            "items",
-        )
     )
 
 

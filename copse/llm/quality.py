@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import lowered, slices, stored, strings, text_bytes
 
@@ -115,7 +116,7 @@ def kth_largest(values: DataFrame, col: str, k: int) -> float:
     return high
 
 
-def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", per_class: int = 3000, lose: float = 0.002, sharpness: float = 200.0) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", per_class: int = 3000, lose: float = 0.002, sharpness: float = 200.0, carry: bool = False) -> DataFrame:
     """Keeps documents that are like the target text, which are those labelled 1.
 
     Two generative models over hashed n-grams: of the target, from a bounded sample of labelled rows (at most about
@@ -127,7 +128,8 @@ def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     Returns a row for each row: the id, log_ratio (of the whole text), weight (a n-gram), gumbel_key and kept. Null and
     empty texts have weight 0. Repeated rows share a key; if the k-th largest key is tied, all of its rows are kept. If
-    no labels are given, or all texts are empty, all are kept. Other columns are ignored.
+    no labels are given, or all texts are empty, all are kept. Other columns are ignored. carry: returns the rows of documents that are kept
+    instead, with all their columns.
     """
     spark = documents.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("_lid"), (F.col(label_col) > 0).cast("int").alias("_y"), F.pmod(F.xxhash64(label_id_col), F.lit(1 << 30)).alias("_at"))
@@ -154,15 +156,21 @@ def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = strings(b.column(1))
+            texts = strings(b.column(0))
             found = [mean_ratios(texts.slice(s, e - s), shared.value) for s, e in slices(texts, 1_000_000)]
             whole = np.concatenate([x for x, _ in found]) if found else np.zeros(0)
             mean = np.concatenate([x for _, x in found]) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole), pa.array(mean), b.column(2)], names=[id_col, "log_ratio", "weight", "u"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(whole), pa.array(mean), b.column(1)], names=["row", "log_ratio", "weight", "u"])
 
     chance = (F.pmod(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = docs.select(F.col(id_col), F.col(text_col), chance.alias("u")).mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, log_ratio double, weight double, u double")
-    scored = stored(scored.select(id_col, "log_ratio", "weight", (sharpness * (F.col("weight") - split) - F.log(-F.log("u"))).alias("gumbel_key")), "weights")
+    row = F.struct(*(F.col(f"`{c}`") for c in (documents.columns if carry else [id_col]))).alias("row")
+    given = documents.select(F.col(text_col).alias("_t"), chance.alias("_u"), row)
+    kinds = StructType([given.schema["row"], StructField("log_ratio", DoubleType()), StructField("weight", DoubleType()), StructField("u", DoubleType())])
+    scored = given.mapInArrow(run, kinds)
+    scored = stored(scored.select("row", "log_ratio", "weight", (sharpness * (F.col("weight") - split) - F.log(-F.log("u"))).alias("gumbel_key")), "weights")
     k = scored.where(F.col("weight") >= split).count()
     least = kth_largest(scored.select("gumbel_key"), "gumbel_key", k) if k else float("inf")
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(least))
+    enough = F.col("gumbel_key") >= F.lit(least)
+    if carry:
+        return scored.where(enough).select("row.*")
+    return scored.select(f"row.`{id_col}`", "log_ratio", "weight", "gumbel_key", enough.alias("kept"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, keyed_join, slices, stored, strings, text_bytes
+from .common import KEY, LOWER, keyed_join, marked, row_key, slices, stored, strings, text_bytes
 from .components import connected
 
 SEED = 42
@@ -52,17 +52,17 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """A row (id, fp long) for each row; null and empty texts have fingerprint 0."""
+    """A row (id, key, fp long) for each row; null and empty texts have fingerprint 0. key: row_key() of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column(1))
             found = [fingerprints_of(texts.slice(s, e - s), shingle) for s, e in slices(texts, 1_000_000)]
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=[id_col, KEY, "fp"])
 
-    ids = documents.select(F.col(id_col), F.col(text_col))
-    return ids.mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, fp long")
+    ids = documents.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col).alias(KEY))
+    return ids.mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, {KEY} long, fp long")
 
 
 def byte_at(fp: Column, i: int) -> Column:
@@ -122,6 +122,15 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     )
 
 
+def grouped(documents: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and for each distinct one a fingerprint that stands for its component."""
+    prints = stored(fingerprints(documents, id_col=id_col, text_col=text_col, shingle=shingle), "prints")
+    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "distinct")
+    linked = connected(links(distinct.select("fp"), distance))
+    roots = distinct.join(linked.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return prints, stored(roots, "roots")
+
+
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """The fingerprint of each document and the smallest id that it can reach over links of at most `distance` bits.
 
@@ -130,13 +139,29 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     zero. Equal fingerprints are one vertex, so repeated rows and exact copies cost no pairs. Null ids are carried; a
     component of null ids alone has a null component_id. Other columns are ignored.
     """
-    prints = stored(fingerprints(documents, id_col=id_col, text_col=text_col, shingle=shingle), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "distinct")
-    linked = connected(links(distinct.select("fp"), distance))
-    roots = distinct.join(linked.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    roots = stored(roots, "roots")
+    prints, roots = grouped(documents, id_col, text_col, shingle, distance)
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(keyed_join(roots, lows, "root").select("fp", "component_id"), "named")
     return keyed_join(prints, named, "fp").select(
         F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """One row of each component of near duplicates, with all its columns: that with the smallest id.
+
+    Null ids come after all others; of rows with the same id and text one stays, and of rows with the same id and other
+    texts in the same component, the one of the least hash.
+    """
+    prints, roots = grouped(documents, id_col, text_col, shingle, distance)
+    # The least row of each fingerprint, then of each component.
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY).alias("key"))
+    least = prints.groupBy("fp", KEY).agg(F.min(order).alias("row"), F.count(F.lit(1)).alias("n"))
+    least = least.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("best"))
+    best = least.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    keep = stored(best.select(F.col("best.row.key").alias(KEY), F.col("best.n").alias("_times")), "kept")
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    found = marked(documents, keep, id_col, text_col).where(F.col("_times").isNotNull())
+    # Repeated rows come down to one before they are shuffled.
+    many = found.where("_times > 1").groupBy(KEY).agg(F.first(F.struct(*own)).alias("_row")).select("_row.*")
+    return found.where("_times = 1").select(*own).unionByName(many)

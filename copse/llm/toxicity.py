@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +186,19 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 10, rate: float =
     return model
 
 
+def learned(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str, per_class: int) -> Broadcast:
+    """The model, fitted on a bounded sample of labelled rows, for all executors."""
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("_lid"), (F.col(label_col) > 0).cast("int").alias("_y"), F.pmod(F.xxhash64(label_id_col), F.lit(1 << 30)).alias("_at"))
+    sizes = {r._y: r["count"] for r in marks.groupBy("_y").count().collect()}
+    few = lambda y: int(min(1.0, per_class / max(1, sizes.get(y, 1))) * (1 << 30))
+    # The sample of labels is bounded, so it goes to the documents.
+    chosen = marks.where(F.col("_at") <= F.when(F.col("_y") == 1, few(1)).otherwise(few(0))).select("_lid", "_y")
+    docs = documents.select(F.col(id_col), F.col(text_col).alias("_t"))
+    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).where(F.length("_t") > 0).select("_y", "_t")
+    rows = sorted((r._y, r._t) for r in known.collect())
+    return documents.sparkSession.sparkContext.broadcast(fit([t for _, t in rows], [y for y, _ in rows]))  # of fixed size
+
+
 def score(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500, held_out: Column | None = None) -> DataFrame:
     """The toxicity of each document, learned from the rows that `labels` names.
 
@@ -197,15 +211,7 @@ def score(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     texts are scored as a window without words. With nothing to learn from, every score is near 0. Labels that
     are null, or of ids that no document has, aren't learned from. Other columns are ignored.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("_lid"), (F.col(label_col) > 0).cast("int").alias("_y"), F.pmod(F.xxhash64(label_id_col), F.lit(1 << 30)).alias("_at"))
-    sizes = {r._y: r["count"] for r in marks.groupBy("_y").count().collect()}
-    few = lambda y: int(min(1.0, per_class / max(1, sizes.get(y, 1))) * (1 << 30))
-    # The sample of labels is bounded, so it goes to the documents.
-    chosen = marks.where(F.col("_at") <= F.when(F.col("_y") == 1, few(1)).otherwise(few(0))).select("_lid", "_y")
-    docs = documents.select(F.col(id_col), F.col(text_col).alias("_t"))
-    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).where(F.length("_t") > 0).select("_y", "_t")
-    rows = sorted((r._y, r._t) for r in known.collect())
-    shared = documents.sparkSession.sparkContext.broadcast(fit([t for _, t in rows], [y for y, _ in rows]))  # of fixed size
+    shared = learned(documents, labels, id_col, text_col, label_id_col, label_col, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,5 +224,20 @@ def score(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     return rows.mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
+def clean(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500) -> DataFrame:
+    """The rows of documents with a score under one half, with all their columns; learned as in score()."""
+    shared = learned(documents, labels, id_col, text_col, label_id_col, label_col, per_class)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = strings(b.column(at))
+            found = [text_scores(texts.slice(s, e - s), shared.value) for s, e in slices(texts)]
+            if found:
+                yield b.filter(pa.array(np.concatenate(found) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out_of(id_col: str = "doc_id") -> Column:
     return fold(id_col, 5) == 0
