@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,21 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     )
 
 
+def fitted(rows: DataFrame, fit: Callable[..., object]) -> object:
+    """What fit makes of the columns of rows, a bounded sample: run in one task, so that the driver needn't hold the rows.
+
+    Rows are sorted, so that the result doesn't depend on how they come.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(zip(*(chain.from_iterable(x) for x in zip(*([c.to_pylist() for c in b.columns] for b in batches), strict=True)), strict=True))
+        model = fit(*([list(c) for c in zip(*got, strict=True)] or [[] for _ in names]))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+
+
 #: Name of the column that row_key() adds; no column of a table should have it.
 KEY = "_copse_key"
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, strings, text_bytes
+from .common import fitted, fold, slices, strings, text_bytes
 from .grams import gram_counts
 
 BITS, SIZES = 12, (1, 2, 3)
@@ -72,7 +72,7 @@ def has_letter(text: str) -> bool:
 def predict(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, clusters: int = 4, held_out: Column | None = None) -> DataFrame:
     """The language of each document, learned from `training`.
 
-    The model is fitted on the driver from at most about `per_lang` rows of each language, those of least hashed id: a
+    The model is fitted in one task from at most about `per_lang` rows of each language, those of least hashed id: a
     bounded sample. Each text becomes a TF-IDF vector of hashed byte n-grams (1 to 3 bytes), normalised, and takes the
     language of the nearest of `clusters` centroids a language, by cosine.
 
@@ -87,8 +87,7 @@ def predict(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
     model = None
     if sizes:
         limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))]), F.col("lang"))
-        rows = sorted((r.lang, r.text) for r in known.where(F.col("at") <= limit).select("lang", "text").collect())
-        model = fit([t for _, t in rows], [k for k, _ in rows], clusters=clusters)
+        model = fitted(known.where(F.col("at") <= limit).select("lang", "text"), lambda langs, texts: fit(texts, langs, clusters=clusters) if texts else None)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of centroids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import lowered, slices, stored, strings, text_bytes
+from .common import fitted, lowered, slices, stored, strings, text_bytes
 
 BITS = 14
 #: Each text counts as at least so many n-grams, so that the mean over a few of them isn't taken at its word.
@@ -98,6 +98,24 @@ def mean_ratios(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndar
     return whole, whole / np.maximum(np.diff(starts), LEAST)
 
 
+def ratios_and_split(marks: list[int], texts: list[str], raw: np.ndarray, lose: float) -> tuple[np.ndarray, float]:
+    """The log ratio of each bucket, and the weight that tells target texts from others; see resample()."""
+    good = pa.array([t for t, y in zip(texts, marks, strict=True) if y], pa.large_string())
+    other = pa.array([t for t, y in zip(texts, marks, strict=True) if not y], pa.large_string())
+    wanted = np.zeros(1 << BITS)
+    for s, e in slices(good, 1_000_000):
+        wanted += np.bincount(features(good.slice(s, e - s))[0], minlength=1 << BITS)
+    prior = (raw + 1) / (raw + 1).sum()
+    target = (wanted + 1000 * prior) / (wanted.sum() + 1000)
+    ratio = np.log(target) - np.log(prior)
+    weigh = lambda a: np.concatenate([np.zeros(0), *(mean_ratios(a.slice(s, e - s), ratio)[1] for s, e in slices(a, 1_000_000))])
+    wanted_at, other_at = weigh(good), weigh(other)
+    split = float(np.quantile(wanted_at, lose)) if len(wanted_at) else -1e9
+    if len(wanted_at) and len(other_at):
+        split -= max(0.0, split - float(np.quantile(other_at, 1 - lose))) / 2
+    return ratio, split
+
+
 def kth_largest(values: DataFrame, col: str, k: int) -> float:
     """The k-th largest value, found by narrowing a histogram; exact. Values are finite."""
     low, high = values.agg(F.min(col), F.max(col)).first()
@@ -138,20 +156,9 @@ def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     chosen = marks.where(F.col("_at") <= F.when(F.col("_y") == 1, few(1)).otherwise(few(0))).select("_lid", "_y")
     docs = documents.select(F.col(id_col), F.col(text_col))
     # The sample of labels is bounded, so it goes to the documents.
-    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).where(F.col(text_col).isNotNull()).select("_y", F.col(text_col).alias("_t")).collect()
+    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).where(F.col(text_col).isNotNull()).select("_y", F.col(text_col).alias("_t"))
     raw = counted(docs, text_col)
-    good = pa.array([r._t for r in known if r._y], pa.large_string())
-    wanted = np.zeros(1 << BITS)
-    for s, e in slices(good, 1_000_000):
-        wanted += np.bincount(features(good.slice(s, e - s))[0], minlength=1 << BITS)
-    prior = (raw + 1) / (raw + 1).sum()
-    target = (wanted + 1000 * prior) / (wanted.sum() + 1000)
-    ratio = np.log(target) - np.log(prior)
-    weigh = lambda a: np.concatenate([np.zeros(0), *(mean_ratios(a.slice(s, e - s), ratio)[1] for s, e in slices(a, 1_000_000))])
-    wanted_at, other_at = weigh(good), weigh(pa.array([r._t for r in known if not r._y], pa.large_string()))
-    split = float(np.quantile(wanted_at, lose)) if len(wanted_at) else -1e9
-    if len(wanted_at) and len(other_at):
-        split -= max(0.0, split - float(np.quantile(other_at, 1 - lose))) / 2
+    ratio, split = fitted(known, lambda marks, texts: ratios_and_split(marks, texts, raw, lose))
     shared = spark.sparkContext.broadcast(ratio)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

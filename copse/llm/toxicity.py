@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lowered, slices, strings, text_bytes, words_of
+from .common import fitted, fold, lowered, slices, strings, text_bytes, words_of
 from .grams import gram_codes
 
 BITS, SIZES, DIM = 16, (3, 4, 5), 12
@@ -34,6 +34,14 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
+@dataclass
+class Scorer:
+    """What is needed of a model to score texts."""
+
+    table: np.ndarray
+    lean: float
+
+
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of every word's n-grams, with its edges marked, and where those of each word begin, end last."""
     data, offsets = text_bytes(words)
@@ -76,10 +84,10 @@ def window_means(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return (total[end] - total[begin]) / np.maximum(np.minimum(WINDOW, n[own]), 1), np.concatenate([[0], np.cumsum(count)])
 
 
-def text_scores(texts: pa.Array, model: Model) -> np.ndarray:
+def text_scores(texts: pa.Array, model: Scorer) -> np.ndarray:
     """The probability of the most toxic window of each text."""
     flat, starts = words_of(lowered(texts))
-    table = model.logits()
+    table = model.table
     coded = flat.dictionary_encode()
     values = word_values(coded.dictionary, table)[np.asarray(coded.indices)] if len(flat) else np.zeros(0)
     means, at = window_means(values, starts)
@@ -114,14 +122,12 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 10, rate: float =
     word = np.asarray(coded.indices).astype(np.int64)
     codes, cut = subwords(coded.dictionary)
     # Texts of each class that hold each n-gram, once a text.
-    text = np.repeat(np.arange(len(y)), np.diff(starts))
-    pairs = np.unique(text * (len(cut) - 1) + word)
-    t, w = pairs // (len(cut) - 1), pairs % (len(cut) - 1)
-    m = np.diff(cut)[w]
-    grams = codes[np.repeat(cut[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-    seen = np.unique(np.repeat(t, m) * (1 << BITS) + grams)
-    t, g = seen >> BITS, seen & ((1 << BITS) - 1)
-    ones, zeros = np.bincount(g[y[t] == 1], minlength=1 << BITS), np.bincount(g[y[t] == 0], minlength=1 << BITS)
+    ones, zeros = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for i in range(len(y)):
+        w = np.unique(word[starts[i] : starts[i + 1]])
+        m = cut[w + 1] - cut[w]
+        grams = np.unique(codes[np.repeat(cut[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())])
+        (ones if y[i] else zeros)[grams] += 1
     odd = np.log((ones + 0.1) / (y.sum() + 0.2)) - np.log((zeros + 0.1) / ((1 - y).sum() + 0.2))
     hint = np.where(ones + zeros >= 5, odd, 0.0)
     values = np.add.reduceat(np.append(hint[codes], 0), np.minimum(cut[:-1], len(codes)))
@@ -195,14 +201,18 @@ def learned(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     chosen = marks.where(F.col("_at") <= F.when(F.col("_y") == 1, few(1)).otherwise(few(0))).select("_lid", "_y")
     docs = documents.select(F.col(id_col), F.col(text_col).alias("_t"))
     known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).where(F.length("_t") > 0).select("_y", "_t")
-    rows = sorted((r._y, r._t) for r in known.collect())
-    return documents.sparkSession.sparkContext.broadcast(fit([t for _, t in rows], [y for y, _ in rows]))  # of fixed size
+
+    def learn(labels: list[int], texts: list[str]) -> Scorer:
+        model = fit(texts, labels)
+        return Scorer(model.logits(), model.lean)
+
+    return documents.sparkSession.sparkContext.broadcast(fitted(known, learn))  # of fixed size
 
 
 def score(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500, held_out: Column | None = None) -> DataFrame:
     """The toxicity of each document, learned from the rows that `labels` names.
 
-    The model is fitted on the driver from at most about `per_class` rows of each label, those of least hashed id: a
+    The model is fitted in one task from at most about `per_class` rows of each label, those of least hashed id: a
     bounded sample. A word is the mean of the vectors of its hashed character n-grams (3 to 5 bytes, edges marked); a
     window of WINDOW words is the mean of its words, and goes through a linear softmax; a text has the score of its most
     toxic window. A word with a new spelling shares n-grams with known ones and so their vectors.
