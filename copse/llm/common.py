@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +82,19 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     )
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the machine at its end: a Python worker lives on after its task."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def fitted(rows: DataFrame, fit: Callable[..., object]) -> object:
     """What fit makes of the columns of rows, a bounded sample: run in one task, so that the driver needn't hold the rows.
 
@@ -91,7 +107,7 @@ def fitted(rows: DataFrame, fit: Callable[..., object]) -> object:
         model = fit(*([list(c) for c in zip(*got, strict=True)] or [[] for _ in names]))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    return pickle.loads(rows.repartition(1).mapInArrow(tidy(run), "model binary").first()[0])
 
 
 #: Name of the column that row_key() adds; no column of a table should have it.

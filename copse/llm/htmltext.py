@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, stored
+from .common import keyed_join, stored, tidy
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)|<[!?][^>]*(?:>|$)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -308,9 +308,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
-    partial = rows.select(url_col, html_col).mapInArrow(induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    some = partial.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInArrow(merged, "host string, wrapper string")
-    whole = some.repartition(tasks, "host").sortWithinPartitions("host", "wrapper").mapInArrow(merged, "host string, wrapper string")
+    partial = rows.select(url_col, html_col).mapInArrow(tidy(induce), "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
+    some = partial.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInArrow(tidy(merged), "host string, wrapper string")
+    whole = some.repartition(tasks, "host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(merged), "host string, wrapper string")
     whole = stored(whole, "wrappers")
     size = whole.agg(F.sum(F.length("wrapper"))).first()[0] or 0
 

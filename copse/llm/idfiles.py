@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, shared_dir, slices, stored, strings
+from .common import dropped, shared_dir, slices, stored, strings, tidy
 from .rangecoder import BLOCK, decode_block, encode_block
 from .tokens import default_tokenizer, encoder
 
 #: Ids in a file, about; a file ends with the document that reaches this.
-FILE_IDS = 4 * BLOCK
+FILE_IDS = 2 * BLOCK
 TAIL = b"CXFT"
 
 
@@ -94,7 +94,7 @@ def write(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         own = encoder(name)
         for b in batches:
             texts = strings(b.column(1))
-            for s, e in slices(texts, 8_000_000):
+            for s, e in slices(texts, 2_000_000):
                 got, starts = own.encode(texts.slice(s, e - s), end)
                 ids.append(got)
                 sizes.append(np.diff(starts))
@@ -110,7 +110,7 @@ def write(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     fs.create_dir(root, recursive=True)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     dealt = rows.repartitionByRange(tasks, F.col("id"), F.col("h")).sortWithinPartitions("id", "h").select("id", "t")
-    return stored(dealt.mapInArrow(run, "task int, file int, path string, ids long"), "files")
+    return stored(dealt.mapInArrow(tidy(run), "task int, file int, path string, ids long"), "files")
 
 
 def read(files: DataFrame, path: str, *, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
@@ -135,7 +135,7 @@ def read(files: DataFrame, path: str, *, id_col: str = "doc_id", id_type: str =
                 crc = np.fromiter((crc32(raw[s:e]) for s, e in zip(cut, cut[1:], strict=False)), np.int64, len(docs))
                 yield pa.RecordBatch.from_arrays([docs, pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(crc)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = 2, path: str | None = None) -> DataFrame:

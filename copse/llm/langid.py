@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, fold, slices, strings, text_bytes
+from .common import fitted, fold, slices, strings, text_bytes, tidy
 from .grams import gram_counts
 
 BITS, SIZES = 12, (1, 2, 3)
@@ -110,7 +110,7 @@ def predict(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=[id_col, "held_out", "lang_pred", "score", "rejected"])
 
     rows = documents.select(F.col(id_col), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def held_out_of(id_col: str = "doc_id") -> Column:

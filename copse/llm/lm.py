@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fold, lowered, slices, stored, strings, text_bytes, words_of
+from .common import dropped, fold, lowered, slices, stored, strings, text_bytes, words_of, tidy
 
 #: Tokens in a block, about; one text is never cut.
 BLOCK = 4_000_000
@@ -237,7 +237,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield from flush()
 
     cells = "block long, shard int, docs binary, ids binary, sizes binary, held binary, words binary, ones_k binary, ones_n binary, twos_k binary, twos_n binary, spell binary"
-    table = stored(rows.mapInArrow(blocks, cells), "blocks")
+    table = stored(rows.mapInArrow(tidy(blocks), cells), "blocks")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard; each shard's counts are summed over all blocks and go back to each."""
@@ -270,7 +270,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield from flush()
 
     asked = table.where("shard >= 0").select("block", "shard", "ones_k", "ones_n", "twos_k", "twos_n")
-    answered = stored(asked.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(totals, "block long, shard int, ones binary, twos binary, v long, n long, once long"), "totals")
+    answered = stored(asked.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(tidy(totals), "block long, shard int, ones binary, twos binary, v long, n long, once long"), "totals")
     v, n, once = (int(x or 0) for x in answered.where("block = -1").agg(F.sum("v"), F.sum("n"), F.sum("once")).first())
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(32)).astype(np.int64)), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["code", "n"])
 
     # Byte triples: there are no more than 2**24, and in any language a small share of those.
-    spell = table.where("shard = -1").select("spell").mapInArrow(spelled, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    spell = table.where("shard = -1").select("spell").mapInArrow(tidy(spelled), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     texts = rows.where(~F.col("held")).count()
     shape = {"spelling": Spelling(spell["code"].to_numpy(np.int64), spell["n"].to_numpy(np.int64)), "texts": texts, "v": v, "n": n, "rare": (once + 1) / (n + 1) if n else 1.0}
     shared = spark.sparkContext.broadcast(shape)
@@ -303,7 +303,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     body = table.where("shard = -1").select("block", "shard", "docs", "ids", "sizes", "held", "words", F.lit(None).cast("binary").alias("ones"), F.lit(None).cast("binary").alias("twos"))
     back = answered.where("block >= 0").select("block", "shard", *(F.lit(None).cast("binary").alias(c) for c in ("docs", "ids", "sizes", "held", "words")), "ones", "twos")
-    full = body.union(back).repartition(shards, "block").sortWithinPartitions("block", "shard").mapInArrow(gathered, "docs binary, ids binary, sizes binary, held binary, words binary, ones array<binary>, twos array<binary>")
+    full = body.union(back).repartition(shards, "block").sortWithinPartitions("block", "shard").mapInArrow(tidy(gathered), "docs binary, ids binary, sizes binary, held binary, words binary, ones array<binary>, twos array<binary>")
     full = stored(full, "gathered")
     dropped(table)
     dropped(answered)
@@ -325,7 +325,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["at", "n"])
 
     counted = np.zeros(BUCKETS * BINS)
-    for r in full.mapInArrow(ratios, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in full.mapInArrow(tidy(ratios), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         counted[r["at"]] = r["n"]
     back_off = mixture(counted.reshape(BUCKETS, BINS))
 
@@ -344,7 +344,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 sums = [np.add.reduceat(y, begin) for y in ((x["c"] > 0).astype(np.int64), base, np.log10(p))]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(unplanes(r["held"], np.uint8) == 1), pa.array(x["sizes"]), pa.array(sums[0]), pa.array(np.full(len(docs), m["n"])), pa.array(sums[1]), pa.array(sums[2])], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return full.mapInArrow(scored, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return full.mapInArrow(tidy(scored), f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_of(id_col: str = "doc_id") -> Column:

@@ -12,11 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, strings
+from .common import slices, stored, strings, tidy
 from .tokens import default_tokenizer, encoder
 
 #: Ids that one task packs at a time, about.
-POOL = 8_000_000
+POOL = 4_000_000
 
 
 def fill(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -161,7 +161,7 @@ def packed(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
         for b in batches:
             texts = strings(b.column(1))
-            for s, e in slices(texts, 8_000_000):
+            for s, e in slices(texts, 2_000_000):
                 got, starts = own.encode(texts.slice(s, e - s), end)
                 ids.append(got)
                 sizes.append(np.diff(starts))
@@ -202,8 +202,8 @@ def packed(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield from flush()
 
     rows = documents.select(F.col(id_col), F.col(text_col))
-    pieces = stored(rows.mapInArrow(first, kinds), "pieces")
+    pieces = stored(rows.mapInArrow(tidy(first), kinds), "pieces")
     rest = pieces.where(F.col("sequence_id").isNull())
     total = rest.agg(F.sum("length")).first()[0] or 0
-    last = rest.repartition(-(-total // POOL) or 1).sortWithinPartitions(id_col, "start", "length").mapInArrow(second, kinds)
+    last = rest.repartition(-(-total // POOL) or 1).sortWithinPartitions(id_col, "start", "length").mapInArrow(tidy(second), kinds)
     return pieces.where(F.col("sequence_id").isNotNull()).unionByName(last).drop("rest")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fitted, lowered, slices, stored, strings, text_bytes
+from .common import fitted, lowered, slices, stored, strings, text_bytes, tidy
 
 BITS = 14
 #: Each text counts as at least so many n-grams, so that the mean over a few of them isn't taken at its word.
@@ -85,7 +85,7 @@ def counted(documents: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
     out = np.zeros(1 << BITS)
-    for r in documents.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in documents.select(text_col).mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -163,17 +163,19 @@ def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = strings(b.column(0))
+            texts = strings(b.column(0).field(text_at))
             found = [mean_ratios(texts.slice(s, e - s), shared.value) for s, e in slices(texts, 1_000_000)]
             whole = np.concatenate([x for x, _ in found]) if found else np.zeros(0)
             mean = np.concatenate([x for _, x in found]) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(whole), pa.array(mean), b.column(1)], names=["row", "log_ratio", "weight", "u"])
+            yield pa.RecordBatch.from_arrays([b.column(0) if carry else pa.StructArray.from_arrays([b.column(0).field(0)], [id_col]), pa.array(whole), pa.array(mean), b.column(1)], names=["row", "log_ratio", "weight", "u"])
 
     chance = (F.pmod(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    row = F.struct(*(F.col(f"`{c}`") for c in (documents.columns if carry else [id_col]))).alias("row")
-    given = documents.select(F.col(text_col).alias("_t"), chance.alias("_u"), row)
-    kinds = StructType([given.schema["row"], StructField("log_ratio", DoubleType()), StructField("weight", DoubleType()), StructField("u", DoubleType())])
-    scored = given.mapInArrow(run, kinds)
+    columns = documents.columns if carry else [id_col, text_col]
+    text_at = columns.index(text_col)
+    given = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), chance.alias("_u"))
+    row = given.schema["row"] if carry else StructField("row", StructType([documents.schema[id_col]]))
+    kinds = StructType([row, StructField("log_ratio", DoubleType()), StructField("weight", DoubleType()), StructField("u", DoubleType())])
+    scored = given.mapInArrow(tidy(run), kinds)
     scored = stored(scored.select("row", "log_ratio", "weight", (sharpness * (F.col("weight") - split) - F.log(-F.log("u"))).alias("gumbel_key")), "weights")
     k = scored.where(F.col("weight") >= split).count()
     least = kth_largest(scored.select("gumbel_key"), "gumbel_key", k) if k else float("inf")

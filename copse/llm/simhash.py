@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LOWER, keyed_join, marked, row_key, slices, stored, strings, text_bytes
+from .common import KEY, LOWER, keyed_join, marked, row_key, slices, stored, strings, text_bytes, tidy
 from .components import connected
 
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=[id_col, KEY, "fp"])
 
     ids = documents.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col).alias(KEY))
-    return ids.mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, {KEY} long, fp long")
+    return ids.mapInArrow(tidy(run), f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, {KEY} long, fp long")
 
 
 def byte_at(fp: Column, i: int) -> Column:

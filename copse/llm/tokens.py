@@ -28,7 +28,7 @@ CUT[DIGIT, [LETTER, DIGIT, APOSTROPHE, OTHER]] = True
 CUT[OTHER, [LETTER, DIGIT]] = True
 CUT[APOSTROPHE, DIGIT] = True
 #: Distinct words kept for later batches; beyond that, the table begins anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 
 
 def default_tokenizer() -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 #: Rows of data in one block at most, about; larger cells are cut into several blocks.
 BLOCK = 8192
@@ -100,7 +100,7 @@ def top_k(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                 far[at] = np.sqrt(d.min(0))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell), pa.array(far)], names=["id", "v", "dim", "cell", "far"])
 
-    placed = stored(rows.mapInArrow(place, "id long, v array<long>, dim int, cell int, far double"), "placed")
+    placed = stored(rows.mapInArrow(tidy(place), "id long, v array<long>, dim int, cell int, far double"), "placed")
     # A summary for each cell: its size, its radius and its k+1 rows nearest to the pivot.
     sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if(F.col("id") % every == 0).alias("asked"))
     nearest = placed.select("dim", "cell", "far").groupBy("dim", "cell", F.spark_partition_id()).agg(F.slice(F.sort_array(F.collect_list("far")), 1, k + 1).alias("near"))
@@ -140,7 +140,7 @@ def top_k(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     spot = F.element_at(where, F.concat_ws(",", "dim", "cell"))
     block = (F.shiftright(spot, 32) + F.pmod(F.xxhash64("id", F.lit(7)), spot.bitwiseAND(F.lit((1 << 32) - 1)))).cast("int")
     data = placed.select(block.alias("block"), F.lit(0).cast("byte").alias("kind"), "id", "v")
-    asked = placed.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "dim")).alias("q")).select("id", "q.v", "q.dim").mapInArrow(needed, "block int, kind byte, id long, v array<long>")
+    asked = placed.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "dim")).alias("q")).select("id", "q.v", "q.dim").mapInArrow(tidy(needed), "block int, kind byte, id long, v array<long>")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block, data before queries; a block's data are held, its queries pass by."""
@@ -169,7 +169,7 @@ def top_k(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                     yield pa.RecordBatch.from_arrays([pa.array(got[f : f + 512][i]), pa.array(ids[j]), pa.array(sc)], names=["query_id", "vec_id", "score"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    solved = data.union(asked).repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(solve, "query_id long, vec_id long, score long")
+    solved = data.union(asked).repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(tidy(solve), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return solved.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

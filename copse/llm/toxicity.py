@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, fold, lowered, slices, strings, text_bytes, words_of
+from .common import fitted, fold, lowered, slices, strings, text_bytes, words_of, tidy
 from .grams import gram_codes
 
 BITS, SIZES, DIM = 16, (3, 4, 5), 12
@@ -226,12 +226,12 @@ def score(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column(2))
-            found = [text_scores(texts.slice(s, e - s), shared.value) for s, e in slices(texts)]
+            found = [text_scores(texts.slice(s, e - s), shared.value) for s, e in slices(texts, 1_000_000)]
             out = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     rows = documents.select(F.col(id_col), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def clean(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 2500) -> DataFrame:
@@ -242,11 +242,11 @@ def clean(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column(at))
-            found = [text_scores(texts.slice(s, e - s), shared.value) for s, e in slices(texts)]
+            found = [text_scores(texts.slice(s, e - s), shared.value) for s, e in slices(texts, 1_000_000)]
             if found:
                 yield b.filter(pa.array(np.concatenate(found) < 0.5))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def held_out_of(id_col: str = "doc_id") -> Column:
