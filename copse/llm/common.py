@@ -107,7 +107,8 @@ def fitted(rows: DataFrame, fit: Callable[..., object]) -> object:
         model = fit(*([list(c) for c in zip(*got, strict=True)] or [[] for _ in names]))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return pickle.loads(rows.repartition(1).mapInArrow(tidy(run), "model binary").first()[0])
+    made = rows.repartition(1).mapInArrow(tidy(run), "model binary").first()
+    return pickle.loads(made[0]) if made else fit(*([] for _ in names))  # no task runs where Spark knows that there are no rows
 
 
 #: Name of the column that row_key() adds; no column of a table should have it.

@@ -33,14 +33,14 @@ BUCKETS, BINS = 48, 240
 
 def planes(values: np.ndarray) -> bytes:
     """The bytes of numbers, all first bytes, then all second bytes and so on, compressed."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unplanes(data: bytes, kind: type) -> np.ndarray:
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).reshape(-1).view(kind)
 
 
 def packed(data: bytes) -> bytes:
@@ -108,6 +108,8 @@ class Spelling:
 
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each byte of each word and of the space after it, with the two bytes before, spaces at first; and its word."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(b"  " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     code = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
@@ -349,4 +351,3 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def held_out_of(id_col: str = "doc_id") -> Column:
     return fold(id_col, 7) == 2
-

@@ -92,9 +92,9 @@ class WordEncoder:
         if piece.isascii():
             if piece.isalpha():
                 return [x.id for x in self.model.tokenize(piece)]  # already in lower case
-        elif piece.isalpha() and max(piece) < "\u0250":
+        elif piece.isalpha() and max(piece) < "\u0250" and (normal := self.normal.normalize_str(piece)).isalpha():
             letters = self.letters
-            return [x.id for x in self.model.tokenize("".join([letters[b] for b in self.normal.normalize_str(piece).encode()]))]
+            return [x.id for x in self.model.tokenize("".join([letters[b] for b in normal.encode()]))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def learn(self, pieces: list[str]) -> None:
