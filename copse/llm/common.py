@@ -67,18 +67,19 @@ def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where(F.col("_n") > total / HEAVY).select(key)
 
 
-def keyed_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def keyed_join(big: DataFrame, small: DataFrame, key: str, dealt: bool = False) -> DataFrame:
     """Left join of big with small, which has one row for each key at most, where some keys may have a large share of big.
 
     Heavy keys number fewer than HEAVY, so their rows of small are broadcast; the other rows are shuffled, and no key of
-    theirs has over 1/HEAVY of the rows. big is read twice and should be a stored table.
+    theirs has over 1/HEAVY of the rows. big is read twice and should be a stored table. dealt: the other rows are always
+    shuffled, at every size, whatever the size of small.
     """
     heavy = heavy_keys(big, key).withColumn("_heavy", F.lit(True))
     marked = big.join(F.broadcast(heavy), key, "left")
     few = small.join(F.broadcast(heavy.select(key)), key, "left_semi")
     return (
         marked.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(few), key, "left")
-        .unionByName(marked.where(F.col("_heavy").isNull()).drop("_heavy").join(small, key, "left"))
+        .unionByName(marked.where(F.col("_heavy").isNull()).drop("_heavy").join(small.hint("merge") if dealt else small, key, "left"))
     )
 
 
@@ -122,7 +123,7 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def marked(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """documents with the columns of marks, which has a row for some keys; null where it has none."""
-    return keyed_join(documents.withColumn(KEY, row_key(id_col, text_col)), marks, KEY)
+    return keyed_join(documents.withColumn(KEY, row_key(id_col, text_col)), marks, KEY, dealt=True)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
