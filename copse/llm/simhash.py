@@ -154,6 +154,11 @@ def representatives(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts in the same component, the one of the least hash.
     """
     prints, roots = grouped(documents, id_col, text_col, shingle, distance)
+    return least_rows(documents, prints, roots, id_col, text_col)
+
+
+def least_rows(documents: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The least row of each component. prints: (id, key, fp) of all rows; roots: (fp, root) of all fingerprints."""
     # The least row of each fingerprint, then of each component.
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY).alias("key"))
     least = prints.groupBy("fp", KEY).agg(F.min(order).alias("row"), F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from copse.llm import decontam, htmltext, idfiles, langid, lm, packing, quality, rangecoder, simhash, tokens, topk, toxicity
+from copse.llm import decontam, htmltext, idfiles, langid, lm, packing, quality, rangecoder, resemblance, simhash, tokens, topk, toxicity
 from copse.llm.components import connected
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, row string, w int"
@@ -185,6 +185,38 @@ def test_links_find_every_component(spark, monkeypatch, paired):
         assert {got.get(x, x) for x in g} == {min(g)} if len(g) > 1 else True
 
 
+@pytest.mark.parametrize("paired", [64, 2])
+def test_representatives_at_similarity(spark, monkeypatch, paired):
+    monkeypatch.setattr(resemblance, "PAIRED", paired)
+    rnd = random.Random(5)
+    texts = ["", None, "one", "One", "two words"]
+    for size in (20, 60, 60, 150, 400):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(size)]
+        for _ in range(14):
+            other = list(base)
+            for _ in range(rnd.randrange(1 + size // 25)):
+                other[rnd.randrange(size)] = f"x{rnd.randrange(3000)}"
+            texts.append(" ".join(other))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+            far += (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 2
+    assert far > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = resemblance.representatives(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert resemblance.representatives(df.where("false")).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 8)).astype(np.float32)
