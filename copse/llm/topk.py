@@ -52,8 +52,8 @@ def top_k(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
 
     1. `pivots` pivots are fitted on a bounded sample (at most about `sample` rows, those of least hashed id); the sample
        decides only how much is pruned, never what is found. 2. Each row goes to its nearest pivot. 3. Each cell is
-       summed up: rows, radius, and the k+1 least distances to the pivot. 4. From the summaries each query derives a
-       score that k rows are sure to reach: a row at distance r from pivot p scores at least q.p - |q|r. It is sent
+       summed up: rows, radius, and the k+1 ids of least distance to the pivot. 4. From the summaries each query derives a
+       score that k rows of other ids are sure to reach: a row at distance r from pivot p scores at least q.p - |q|r. It is sent
        only to cells that could beat it: no row of a cell of radius R scores over q.p + |q|R. 5. Cells are cut into
        blocks of about BLOCK rows, each solved where it lies, and the k best over all blocks are kept.
 
@@ -101,14 +101,16 @@ def top_k(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell), pa.array(far)], names=["id", "v", "dim", "cell", "far"])
 
     placed = stored(rows.mapInArrow(tidy(place), "id long, v array<long>, dim int, cell int, far double"), "placed")
-    # A summary for each cell: its size, its radius and its k+1 rows nearest to the pivot.
+    # A summary for each cell: its size, its radius and the k+1 ids nearest to the pivot.
     sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if(F.col("id") % every == 0).alias("asked"))
-    nearest = placed.select("dim", "cell", "far").groupBy("dim", "cell", F.spark_partition_id()).agg(F.slice(F.sort_array(F.collect_list("far")), 1, k + 1).alias("near"))
+    # Rows of one id count once there, as none of them may be a candidate.
+    ids = placed.groupBy("dim", "cell", "id").agg(F.min("far").alias("far"))
+    nearest = ids.groupBy("dim", "cell", F.spark_partition_id()).agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("near"))
     nearest = nearest.groupBy("dim", "cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     summary = {(r.dim, r.cell): r for r in sizes.join(nearest, ["dim", "cell"]).collect()}
     cells: dict[int, list] = {}
     for (dim, c), r in sorted(summary.items()):
-        cells.setdefault(dim, []).append((c, r.n, r.radius, list(r.near), max(1, -(-r.n // BLOCK))))
+        cells.setdefault(dim, []).append((c, r.n, r.radius, [(x.far, x.id) for x in r.near], max(1, -(-r.n // BLOCK))))
     first, total = {}, 0
     for dim, own in cells.items():
         for c, *_, blocks in own:
@@ -125,9 +127,10 @@ def top_k(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                 p = fitted.get(dim, np.zeros((1, dim)))[[c for c, *_ in own]]
                 size = np.sqrt((q**2).sum())
                 mid = p @ q
-                # One row of each list may be the query's own, so k+1 are needed in all.
-                sure = np.sort(np.concatenate([m - size * np.array(near) for m, (*_, near, _) in zip(mid, own, strict=True)]))[::-1]
-                reach = sure[k] if len(sure) > k else -np.inf
+                # The query's own id is no candidate, in whichever cells its rows lie.
+                asker = b.column(0)[i].as_py()
+                sure = np.sort([m - size * far for m, (*_, near, _) in zip(mid, own, strict=True) for far, x in near if x != asker])[::-1]
+                reach = sure[k - 1] if len(sure) >= k else -np.inf
                 slack = 1e-6 * (1 + size * (1 + np.abs(p).max())) * dim
                 to = [first[dim, c] for (c, _, radius, *_), m in zip(own, mid, strict=True) if m + size * radius + slack >= reach - slack]
                 blocks = [x for f, many in to for x in range(f, f + many)]

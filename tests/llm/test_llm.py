@@ -234,6 +234,16 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_a_repeated_query_id(spark):
+    rnd = random.Random(3)
+    rows = [(50, [9.0, 9.0])] * 12 + [(50, [9.0, 8.5])] * 8 + [(i, [rnd.uniform(-2, 2), rnd.uniform(-2, 2)]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [math.floor(256 * x) for x in min(v for i, v in rows if i == 50)]
+    said = sorted((-sum(a * math.floor(256 * x) for a, x in zip(q, v, strict=True)), i) for i, v in rows if i != 50)[:5]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == [(n, i, -s) for n, (s, i) in enumerate(said, 1)]
+
+
 def test_lm_scores(spark, docs):
     out = lm.score(docs, held_out=lm.held_out_of()).collect()
     train = [t for i, t in ROWS if crc32(str(i if i is not None else "").encode()) % 7 != 2]
