@@ -153,7 +153,11 @@ class Encoder:
         rows = df.select(*(F.col(f"`{c}`") for c in names))
         few = rows
         if self.subsample is not None and rows.count() > self.subsample:
-            few = rows.orderBy(hash48(self.seed, F.to_json(F.struct(*rows.columns)))).limit(self.subsample)
+            # Equal rows are told apart by their number, so that each goes in or stays out by itself.
+            copies = rows.groupBy(*(F.col(f"`{c}`") for c in rows.columns)).agg(F.count(F.lit(1)).alias("_copies"))
+            each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+            own = [F.col(f"`{c}`") for c in rows.columns]
+            few = each.orderBy(hash48(self.seed, F.to_json(F.struct(*own)), F.col("_copy")), *own, "_copy").limit(self.subsample).select(*own)
         cuts = thresholds(few, [c for c, k in zip(names, categorical, strict=True) if not k], self.max_bins)
         named = [c for c, k in zip(names, categorical, strict=True) if k]
         values = rows.agg(*(F.array_sort(F.collect_set(checks.value_of(rows, c))).alias(f"c{i}") for i, c in enumerate(named))).first() if named else []

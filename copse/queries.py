@@ -363,7 +363,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatu
 
 
 def classifier(spark: SparkSession, sf_dir: str, **settings: object) -> ForestModel:
-    return ForestClassifier(**{"n_estimators": 5, "max_depth": 4, "max_bins": 64, **settings}).fit(lines(spark, sf_dir), "l_returnflag", key="k", features=FEATURES)
+    return ForestClassifier(**{"n_estimators": 5, "max_depth": 4, "max_bins": 64, "subsample": None, **settings}).fit(lines(spark, sf_dir), "l_returnflag", key="k", features=FEATURES)
 
 
 @query()
@@ -379,7 +379,7 @@ def forest_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forest_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lines(spark, sf_dir)
-    model = ForestRegressor(n_estimators=5, max_depth=5, max_bins=64, max_features=None).fit(df, "l_extendedprice", key="k", features=["l_quantity", "l_discount", "l_tax", "l_returnflag"])
+    model = ForestRegressor(n_estimators=5, max_depth=5, max_bins=64, max_features=None, subsample=None).fit(df, "l_extendedprice", key="k", features=["l_quantity", "l_discount", "l_tax", "l_returnflag"])
     return model.predict(df, "k").join(model.weighted_depth(df, "k"), "k")
 
 
@@ -410,7 +410,7 @@ def forest_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 numbers from an array column, ten classes."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(64)))
-    return ForestClassifier(n_estimators=5, max_depth=5, max_bins=32, cat_split_strategy="all").fit(df, "label", key="vec_id").predict(df, "vec_id")
+    return ForestClassifier(n_estimators=5, max_depth=5, max_bins=32, cat_split_strategy="all", subsample=None).fit(df, "label", key="vec_id").predict(df, "vec_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from copse import queries
 from copse.functions import checks
 from copse.operators import aggregation, metrics
 from copse.operators.encoder import Encoder
@@ -25,6 +26,21 @@ def test_encoder_golden(spark, max_bins, c, e, bins_e):
     assert [b[3] for b in got] == [1, 0, 1, 2, 0, 0, 3, 2, 0]
 
 
+def test_subsample_draws_equal_rows_evenly(spark):
+    df = spark.range(120_000).select(F.greatest(F.col("id") - 40_000, F.lit(0)).cast("double").alias("x"))
+    for seed in range(2):
+        cuts = Encoder(max_bins=4, is_categorical=[False], subsample=50_000, seed=seed).fit(df).cuts["x"]
+        assert cuts == pytest.approx([0, 20_000, 50_000], abs=1_000)
+
+
+def test_registered_forests_take_all_rows(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ForestClassifier, "fit", lambda self, *a, **b: made.append(self.params.subsample))
+    monkeypatch.setattr(queries, "lines", lambda *a: None)
+    queries.classifier(spark, "")
+    assert made == [None]
+
+
 def test_encoder_missing_unknown_and_inverse(spark):
     df = spark.createDataFrame([(None, 3.0, -4.0), ("a", None, 1.0), ("b", 0.0, 2.0), (None, -1.0, 1.0), ("a", 42.0, -3.0), ("a", 7.0, float("nan")), ("d", 1.0, 2.0), ("c", None, 3.0)], "a string, b double, d double")
     model = Encoder(max_bins=4, is_categorical=["b"], handle_unknown="consider_missing").fit(df)
