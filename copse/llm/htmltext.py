@@ -30,6 +30,10 @@ MAIN = {"article", "main"}
 #: A slot is template if nearly all of at least so many pages that fill it hold the same text.
 SHARE, PAGES = 0.9, 12
 KEPT = 6
+#: Sums of parts of pages are off by less.
+TINY = 1e-6
+#: No element that is one of these, or holds one, is template as a whole.
+WHOLE = {"html", "body", *MAIN}
 
 
 class Node:
@@ -130,7 +134,8 @@ def folded(node: Node) -> list[tuple[str, list[Node]]]:
     return out
 
 
-# A node of a wrapper: {"l": label, "n": pages, "t": {text: pages}, "k": children}. Texts are kept as checksums, the KEPT
+# A node of a wrapper: {"l": label, "n": pages, "t": {text: pages}, "k": children}. A page that a host holds m times counts
+# 1/m each time, so that pages are distinct pages. Texts are kept as checksums, the KEPT
 # most frequent (by the Misra-Gries rule, so that a text of over 1/(KEPT+1) of the pages is never lost).
 
 
@@ -146,13 +151,13 @@ def text_key(nodes: list[Node]) -> str:
     return str(crc32("\n".join(said).encode("utf-8", "surrogatepass"))) if said else ""
 
 
-def note(counts: dict[str, int], key: str, n: int) -> None:
+def note(counts: dict[str, float], key: str, n: float) -> None:
     counts[key] = counts.get(key, 0) + n
     if len(counts) > KEPT:
         least = min(counts.values())
         for k in list(counts):
             counts[k] -= least
-            if not counts[k]:
+            if counts[k] < TINY:
                 del counts[k]
 
 
@@ -196,14 +201,14 @@ def merge_lists(kids: list[dict], others: list[dict], depth: int) -> None:
         kids.insert(place, o)
 
 
-def pattern(nodes: list[Node], label: str, depth: int = 0) -> dict:
-    """What one page says of a slot: all nodes of the slot at once, their children folded together."""
-    out = {"l": label, "n": 1, "t": {}, "k": []}
+def pattern(nodes: list[Node], label: str, depth: int = 0, part: float = 1) -> dict:
+    """What one page, or a part of one, says of a slot: all nodes of the slot at once, their children folded together."""
+    out = {"l": label, "n": part, "t": {}, "k": []}
     if key := text_key(nodes):
-        out["t"][key] = 1
+        out["t"][key] = part
     if depth < 40:
         for node in nodes:
-            own = [pattern(kids, name, depth + 1) for name, kids in folded(node)]
+            own = [pattern(kids, name, depth + 1, part) for name, kids in folded(node)]
             if not out["k"]:
                 out["k"] = own
             else:
@@ -216,8 +221,16 @@ def pattern(nodes: list[Node], label: str, depth: int = 0) -> dict:
     return out
 
 
-def constant(w: dict) -> bool:
-    return w["n"] >= PAGES and bool(w["t"]) and max(w["t"].values()) >= SHARE * w["n"]
+def constant(w: dict) -> str:
+    """The text that makes the slot template, or none."""
+    if w["n"] < PAGES - TINY or not w["t"]:
+        return ""
+    key = max(w["t"], key=w["t"].get)
+    return key if w["t"][key] >= SHARE * w["n"] - TINY else ""
+
+
+def whole(node: Node) -> bool:
+    return node.tag in WHOLE or any(whole(x) for x in node.kids)
 
 
 def blocks(page: str, wrapper: dict | None) -> list[str]:
@@ -236,7 +249,7 @@ def blocks(page: str, wrapper: dict | None) -> list[str]:
         at = {j: i for i, j in matched([k["l"] for k in kids], [g for g, _ in groups])} if slot else {}
         for j, (_, nodes) in enumerate(groups):
             w = kids[at[j]] if j in at else None
-            if w is not None and constant(w) and text_key(nodes) in w["t"]:
+            if w is not None and (key := constant(w)) and text_key(nodes) == key and not any(whole(x) for x in nodes):
                 continue
             for x in nodes:
                 if x.out:
@@ -259,7 +272,8 @@ def host_of(url: str | None) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of each page.
 
-    First pass: each task aligns the trees of the pages that it reads, host by host, into a partial wrapper; these are
+    Copies of a page on its host count as one page, and no element around the main content is dropped whole; of a slot
+    that is template only the text that most pages have is left out. First pass: each task aligns the trees of the pages that it reads, host by host, into a partial wrapper; these are
     small, and are merged by host in two steps. Second pass: each page is aligned with its host's wrapper, and what is
     neither template nor boilerplate is its text.
 
@@ -275,13 +289,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             return pa.RecordBatch.from_pydict({"host": list(hosts), "wrapper": [json.dumps(w) for w in hosts.values()]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
         for b in batches:
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for url, page, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not page:
                     continue
-                one = pattern([parse(page)], "#root")
+                one = pattern([parse(page)], "#root", 0, 1 / (many or 1))
                 host = host_of(url)
                 if host in hosts:
-                    hosts[host]["n"] += 1
+                    hosts[host]["n"] += one["n"]
                     merge_lists(hosts[host]["k"], one["k"], 0)
                 else:
                     hosts[host] = one
@@ -308,7 +322,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
-    partial = rows.select(url_col, html_col).mapInArrow(tidy(induce), "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    # How often a host holds the same page, where it does so more than once.
+    page = rows.select(url_col, html_col, F.xxhash64(host, F.col(html_col)).alias("page"))
+    copies = stored(page.groupBy("page").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "copies")
+    partial = page.join(copies, "page", "left").select(url_col, html_col, "many").mapInArrow(tidy(induce), "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
     some = partial.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInArrow(tidy(merged), "host string, wrapper string")
     whole = some.repartition(tasks, "host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(merged), "host string, wrapper string")
     whole = stored(whole, "wrappers")
@@ -333,6 +351,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     if size <= 16_000_000:  # few hosts: all wrappers go to all tasks
         shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in whole.collect()})
         return rows.mapInArrow(lambda it: text_of(it, shared.value), kinds)
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
     joined = keyed_join(rows.withColumn("host", host), whole, "host").select(id_col, url_col, html_col, "wrapper")
     return joined.mapInArrow(lambda it: text_of(it, None), kinds)

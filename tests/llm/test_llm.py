@@ -308,6 +308,16 @@ def test_page_text(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+def test_page_text_keeps_what_is_a_page_own(spark):
+    tips = ["Tip of all" if i < 18 else f"Tip of page {i}" for i in range(20)]
+    rows = [(i, "http://a.org/", page("a.org", i, f"Text of {i}")[2].replace("<article>", f"<article><div class='hint'>{t}</div>")) for i, t in enumerate(tips)]
+    rows += [(100 + i, None, "<html><body><div><p>Said by a copy</p></div></body></html>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert all(f"Tip of page {i}" in got[i] for i in (18, 19)) and not any("Tip of all" in t for t in got.values())
+    assert {got[100 + i] for i in range(30)} == {"Said by a copy"}
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
