@@ -27,7 +27,8 @@ OUT = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "
 OUT_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 OUT_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|side|footer|header|masthead|topbar|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|widget\w*|pagination|pager|toolbar|search|skip|hidden)(?=$|[\s_\d-])", re.I)
 MAIN = {"article", "main"}
-#: A slot is template if nearly all of at least so many pages that fill it hold the same text.
+#: A slot is template if nearly all of at least so many pages that fill it hold the same text. On a host of fewer
+#: distinct pages, all that fill it must, two or more.
 SHARE, PAGES = 0.9, 12
 KEPT = 6
 #: Sums of parts of pages are off by less.
@@ -221,12 +222,13 @@ def pattern(nodes: list[Node], label: str, depth: int = 0, part: float = 1) -> d
     return out
 
 
-def constant(w: dict) -> str:
-    """The text that makes the slot template, or none."""
-    if w["n"] < PAGES - TINY or not w["t"]:
+def constant(w: dict, pages: float) -> str:
+    """The text that makes the slot template on a host of so many distinct pages, or none."""
+    few = pages < PAGES - TINY
+    if w["n"] < (2 if few else PAGES) - TINY or not w["t"]:
         return ""
     key = max(w["t"], key=w["t"].get)
-    return key if w["t"][key] >= SHARE * w["n"] - TINY else ""
+    return key if w["t"][key] >= (1 if few else SHARE) * w["n"] - TINY else ""
 
 
 def whole(node: Node) -> bool:
@@ -249,7 +251,7 @@ def blocks(page: str, wrapper: dict | None) -> list[str]:
         at = {j: i for i, j in matched([k["l"] for k in kids], [g for g, _ in groups])} if slot else {}
         for j, (_, nodes) in enumerate(groups):
             w = kids[at[j]] if j in at else None
-            if w is not None and (key := constant(w)) and text_key(nodes) == key and not any(whole(x) for x in nodes):
+            if w is not None and (key := constant(w, wrapper["n"])) and text_key(nodes) == key and not any(whole(x) for x in nodes):
                 continue
             for x in nodes:
                 if x.out:

@@ -318,6 +318,16 @@ def test_page_text_keeps_what_is_a_page_own(spark):
     assert {got[100 + i] for i in range(30)} == {"Said by a copy"}
 
 
+def test_page_text_of_small_hosts(spark):
+    def one(i, host, tip):
+        return (i, f"http://{host}/", page(host, i, f"Text of {i}")[2].replace("<article>", f"<article><div class='hint'>{tip}</div>"))
+
+    rows = [one(i, "a.org", "Tip of all") for i in range(3)] + [one(10, "b.org", "Tip of one")] * 2 + [one(20 + i, "c.org", f"Tip {i > 0}") for i in range(3)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [f"Title {i}\nText of {i}" for i in range(3)]
+    assert got[10].startswith("Tip of one") and got[20].startswith("Tip False") and got[21].startswith("Tip True")
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
