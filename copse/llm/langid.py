@@ -39,11 +39,28 @@ def vectors_of(texts: pa.Array, idf: np.ndarray | None = None) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def fit(texts: list[str], langs: list[str], *, clusters: int = 4, reject: float = 0.995, seed: int = 0) -> Centroids:
+def idf_of(rows: DataFrame) -> np.ndarray | None:
+    """A weight for each bucket from the documents of all rows that hold it: a sum of fixed size. None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found = 0, np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            texts = strings(b.column(0))
+            for s, e in slices(texts, 2_000_000, 512):
+                found += (vectors_of(texts.slice(s, e - s)) > 0).sum(0)
+            n += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, 1 << BITS), pa.int32()), pa.array([n, *found.tolist()], pa.int64())], names=["bucket", "n"])
+
+    got = {r.bucket: r.n for r in rows.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    if not got.get(-1):
+        return None
+    return np.log((1 + got[-1]) / (1 + np.array([got[i] for i in range(1 << BITS)]))).astype(np.float32) + 1
+
+
+def fit(texts: list[str], langs: list[str], idf: np.ndarray, *, clusters: int = 4, reject: float = 0.995, seed: int = 0) -> Centroids:
     """Spherical k-means within each language; ties and the order of rows don't depend on chance but for the seed."""
     arr = pa.array(texts, pa.large_string())
     raw = np.concatenate([vectors_of(arr.slice(s, e - s)) for s, e in slices(arr)])
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))).astype(np.float32) + 1
     x = raw * idf
     x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-9)
     rng = np.random.default_rng(seed)
@@ -73,7 +90,7 @@ def predict(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
     """The language of each document, learned from `training`.
 
     The model is fitted in one task from at most about `per_lang` rows of each language, those of least hashed id: a
-    bounded sample. Each text becomes a TF-IDF vector of hashed byte n-grams (1 to 3 bytes), normalised, and takes the
+    bounded sample. Document frequencies are those of all training rows. Each text becomes a TF-IDF vector of hashed byte n-grams (1 to 3 bytes), normalised, and takes the
     language of the nearest of `clusters` centroids a language, by cosine.
 
     Returns a row for each row: the id, held_out (if given), lang_pred, score (cosine to the nearest centroid, 0 to 1)
@@ -87,7 +104,8 @@ def predict(documents: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
     model = None
     if sizes:
         limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))]), F.col("lang"))
-        model = fitted(known.where(F.col("at") <= limit).select("lang", "text"), lambda langs, texts: fit(texts, langs, clusters=clusters) if texts else None)
+        idf = idf_of(known)
+        model = fitted(known.where(F.col("at") <= limit).select("lang", "text"), lambda langs, texts: fit(texts, langs, idf, clusters=clusters) if texts else None)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of centroids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

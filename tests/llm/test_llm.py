@@ -273,6 +273,16 @@ def test_models_bear_odd_rows(spark, docs, labels):
     assert [f.count() for f in (langid.predict(none, none), toxicity.score(none, labels), quality.resample(none, labels))] == [0, 0, 0]
 
 
+def test_document_frequencies_are_of_all_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"the word {i * 7919}", "en") for i in range(2000)], "doc_id long, text string, lang string").repartition(3)
+    seen, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fitted", lambda rows, f: f([r.lang for r in rows.collect()], [r.text for r in rows.collect()]))
+    monkeypatch.setattr(langid, "fit", lambda *a, **b: seen.append(fit(*a, **b)) or seen[0])
+    langid.predict(df, df, per_lang=50)
+    n = (langid.vectors_of(pa.array([r.text for r in df.collect()], pa.large_string())) > 0).sum(0)
+    assert seen[0].idf == pytest.approx(np.log(2001 / (1 + n)) + 1, abs=1e-5)
+
+
 def test_toxic_misspellings_share_ngrams(spark):
     rnd = random.Random(4)
     clean = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(300)]
