@@ -112,18 +112,20 @@ def fitted(rows: DataFrame, fit: Callable[..., object]) -> object:
     return pickle.loads(made[0]) if made else fit(*([] for _ in names))  # no task runs where Spark knows that there are no rows
 
 
-#: Name of the column that row_key() adds; no column of a table should have it.
+#: Name of the column that holds row_key().
 KEY = "_copse_key"
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     """64 bits for a row's id and text; rows alike in both share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def marked(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """documents with the columns of marks, which has a row for some keys; null where it has none."""
-    return keyed_join(documents.withColumn(KEY, row_key(id_col, text_col)), marks, KEY, dealt=True)
+    """Each row of documents whole, as a struct `row` in which no column name can clash, with its KEY and the columns of
+    marks, which has a row for some keys; null where it has none."""
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), row_key(id_col, text_col).alias(KEY))
+    return keyed_join(whole, marks, KEY, dealt=True)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -176,3 +178,50 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         before = np.concatenate([[0], np.cumsum(filled)])
         flat, offsets = flat.filter(pa.array(filled)), before[offsets]
     return flat, offsets
+
+
+ODD = 0x9E3779B97F4A7C15
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ODD**i and its inverse modulo 2**64 for i < n."""
+    if len(_POWERS.get("up", ())) < n:
+        m = max(n, 1 << 20)
+        for name, base in (("up", ODD), ("down", pow(ODD, -1, 1 << 64))):
+            x = np.full(m, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each run of bytes: a polynomial of its bytes, which running sums give for all at once, and mixed."""
+    up, down = powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    h = (total[end] - total[begin]) * down[begin]
+    for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB), (29, ODD)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each word between ASCII white space, A-Z lowered, and where those of each text begin, with the end last."""
+    data, offsets = text_bytes(texts)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    data = LOWER[data]
+    solid = ~SPACE[data]
+    edge = solid.copy()
+    edge[1:] &= ~solid[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    edge[first] = solid[first]
+    begin = np.flatnonzero(edge)
+    stop = solid.copy()
+    stop[:-1] &= ~solid[1:]
+    last = first[first > 0] - 1
+    stop[last] = solid[last]
+    return run_hashes(data, begin, np.flatnonzero(stop) + 1), np.searchsorted(begin, offsets)

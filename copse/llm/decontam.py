@@ -72,7 +72,7 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
     wins, vocab, small = benchmark_windows(benchmark, item_col, item_text_col, size)
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     bad = stored(judged(docs, wins, vocab, small, True).where(F.size("items") >= least_items).select(F.col("_h").alias(KEY), F.lit(True).alias("_bad")).distinct(), "contaminated")
-    return marked(documents, bad, id_col, text_col).where(F.col("_bad").isNull()).select(*(F.col(f"`{c}`") for c in documents.columns))
+    return marked(documents, bad, id_col, text_col).where(F.col("_bad").isNull()).select("row.*")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, item_text_col: str, size: int) -> tuple[DataFrame, DataFrame, bool]:

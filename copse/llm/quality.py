@@ -10,28 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fitted, lowered, slices, stored, strings, text_bytes, tidy
+from .common import ODD, fitted, lowered, run_hashes, slices, stored, strings, text_bytes, tidy
 
 BITS = 14
 #: Each text counts as at least so many n-grams, so that the mean over a few of them isn't taken at its word.
 LEAST = 20
-ODD = 0x9E3779B97F4A7C15
 #: Bytes of words (digits, letters, _, all beyond ASCII), of white space, and others.
 KIND = np.full(256, 2, np.uint8)
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
 KIND[[9, 10, 11, 12, 13, 32]] = 0
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD**i and its inverse modulo 2**64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, 1 << 20)
-        for name, base in (("up", ODD), ("down", pow(ODD, -1, 1 << 64))):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +39,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     end = np.append(begin[1:], len(data))
     keep = kind[begin] > 0
     begin, end = begin[keep], end[keep]
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[:-1], dtype=np.uint64)])
-    token = (total[end] - total[begin]) * down[begin]
-    token ^= token >> np.uint64(29)
-    token *= np.uint64(0xBF58476D1CE4E5B9)
+    token = run_hashes(data, begin, end)
     starts = np.searchsorted(begin, offsets)
     own = np.repeat(np.arange(len(offsets) - 1), np.diff(starts))
     bucket = lambda h: (((h ^ (h >> np.uint64(32))) * np.uint64(ODD)) >> np.uint64(64 - BITS)).astype(np.int64)

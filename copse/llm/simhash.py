@@ -154,19 +154,18 @@ def representatives(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts in the same component, the one of the least hash.
     """
     prints, roots = grouped(documents, id_col, text_col, shingle, distance)
-    return least_rows(documents, prints, roots, id_col, text_col)
+    return least_rows(documents, prints.withColumnRenamed(id_col, "id"), roots, id_col, text_col)
 
 
 def least_rows(documents: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The least row of each component. prints: (id, key, fp) of all rows; roots: (fp, root) of all fingerprints."""
+    """The least row of each component. prints: (id, KEY, fp) of all rows; roots: (fp, root) of all fingerprints."""
     # The least row of each fingerprint, then of each component.
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY).alias("key"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col(KEY).alias("key"))
     least = prints.groupBy("fp", KEY).agg(F.min(order).alias("row"), F.count(F.lit(1)).alias("n"))
     least = least.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("best"))
     best = least.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
     keep = stored(best.select(F.col("best.row.key").alias(KEY), F.col("best.n").alias("_times")), "kept")
-    own = [F.col(f"`{c}`") for c in documents.columns]
     found = marked(documents, keep, id_col, text_col).where(F.col("_times").isNotNull())
     # Repeated rows come down to one before they are shuffled.
-    many = found.where("_times > 1").groupBy(KEY).agg(F.first(F.struct(*own)).alias("_row")).select("_row.*")
-    return found.where("_times = 1").select(*own).unionByName(many)
+    many = found.where("_times > 1").groupBy(KEY).agg(F.first("row").alias("row"))
+    return found.where("_times = 1").select("row.*").unionByName(many.select("row.*"))
