@@ -37,22 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing.
+
+    by: a column of few values, each of which has a folder of its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/copse-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of a stored() frame that nothing needs any more."""
+def dropped(df: DataFrame, folder: str = "") -> None:
+    """Deletes the table, or one folder of the table, of a stored() frame that nothing needs any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
         if "/copse-" in file:
-            folder = jvm.org.apache.hadoop.fs.Path(file[: file.index("/", file.index("/copse-") + 1)])
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            path = jvm.org.apache.hadoop.fs.Path(f"{file[: file.index('/', file.index('/copse-') + 1)]}/{folder}".rstrip("/"))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -208,11 +211,13 @@ def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits for each word between ASCII white space, A-Z lowered, and where those of each text begin, with the end last."""
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts with A-Z lowered, where each word between ASCII white space begins and ends in it, and which
+    word is the first of each text, with their number last."""
     data, offsets = text_bytes(texts)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(len(offsets), np.int64)
     data = LOWER[data]
     solid = ~SPACE[data]
     edge = solid.copy()
@@ -224,4 +229,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stop[:-1] &= ~solid[1:]
     last = first[first > 0] - 1
     stop[last] = solid[last]
-    return run_hashes(data, begin, np.flatnonzero(stop) + 1), np.searchsorted(begin, offsets)
+    return data, begin, np.flatnonzero(stop) + 1, np.searchsorted(begin, offsets)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each word between ASCII white space, A-Z lowered, and where those of each text begin, with the end last."""
+    data, begin, end, starts = word_spans(texts)
+    return run_hashes(data, begin, end), starts

@@ -259,6 +259,98 @@ def test_lm_scores(spark, docs):
     assert lm.score(docs.where("false")).count() == 0
 
 
+def tokens_of(text):
+    return [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}).encode()) if w] + [b""]
+
+
+def lm_by_hand(train):
+    """P(word | state) in plain dictionaries: state is the word before, b" " at the start, or None for the root."""
+    one, two, three = {}, {}, {}
+    for t in train:
+        before = b" "
+        for w in tokens_of(t):
+            one[w] = one.get(w, 0) + 1
+            two[before, w] = two.get((before, w), 0) + 1
+            before = w
+    n, starts = sum(one.values()), len(train)
+    for w in one:
+        x = b"  " + w + b" "
+        for i in range(2, len(x)):
+            three[x[i - 2 : i + 1]] = three.get(x[i - 2 : i + 1], 0) + 1
+    sums = [{}, {}, {}]
+    for k, c in three.items():
+        sums[2][k] = c
+        sums[1][k[1:]] = sums[1].get(k[1:], 0) + c
+        sums[0][k[2:]] = sums[0].get(k[2:], 0) + c
+    total, kinds = sum(sums[0].values()), len(sums[0])
+
+    def spell(w):
+        out, x = 0.0, b"  " + w + b" "
+        for i in range(2, len(x)):
+            p = (sums[0].get(x[i : i + 1], 0) + (kinds + 1) / 256) / (total + kinds + 1)
+            for k in (1, 2):
+                after = [c for g, c in sums[k].items() if g[:k] == x[i - k : i]]
+                if after:
+                    p = (sums[k].get(x[i - k : i + 1], 0) + len(after) * p) / (sum(after) + len(after))
+            out += math.log10(p)
+        return out
+
+    rare = (sum(c == 1 for c in one.values()) + 1) / (n + 1) if n else 1.0
+    step = {}
+    for c in one.values():
+        k = int(math.log2(c) * 8)
+        step[k] = (step.get(k, (0, 0))[0] + 1, step.get(k, (0, 0))[1] + c)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (b, high) if sum(m * (c / m) ** b for m, c in step.values()) < len(two) else (low, b)
+
+    def log10(state, w):
+        root = math.log10((1 - rare) * one[w] / n + rare * 10 ** spell(w)) if w in one else math.log10(rare) + spell(w)
+        c = starts if state == b" " else one.get(state, 0)
+        if not c:
+            return root
+        back = 1 / (1 + c ** (1 - low))
+        if (state, w) in two:
+            return math.log10((1 - back) * two[state, w] / c + back * 10**root)
+        return math.log10(back) + root
+
+    return log10, one, spell, rare
+
+
+def test_lm_reads_the_automaton(spark):
+    rnd = random.Random(8)
+    vocabulary = ["the", "cat", "Sat", "mat", "é", "x" * 40, "a", "b", "c"]
+    rows = [(i, " ".join(rnd.choices(vocabulary, weights=[9, 5, 4, 3, 2, 1, 1, 1, 1], k=rnd.randint(0, 30)))) for i in range(60)]
+    rows += [(100, "new words the q" + "r" * 300), (101, "s" * 3000), (102, None), (1, "the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") >= 50
+    parts = [sorted((r.doc_id, r.n_tokens, r.score, r.base_score) for r in lm.score(df.repartition(k), held_out=held).collect()) for k in (1, 8)]
+    assert parts[0] == parts[1]
+    log10, one, spell, rare = lm_by_hand([t for i, t in rows if i < 50])
+    want = []
+    for i, t in rows:
+        total, before = 0.0, b" "
+        for w in tokens_of(t):
+            total += log10(before, w)
+            before = w
+        want.append((i, total))
+    assert sorted((i, round(x, 6)) for i, _, x, _ in parts[0]) == sorted((i, round(x, 6)) for i, x in want)
+    scores = {i: x for i, _, x, _ in parts[0]}
+    assert 8 < scores[101] / (log10(b" ", b"s" * 300)) < 11
+    # What a state can read sums up to one: known words, and all others by their spelling.
+    for state in [b" ", *(w for w in one if w), b"unknown"]:
+        seen = sum(10 ** log10(state, w) for w in one)
+        other = 10 ** (log10(state, b"zzz") - spell(b"zzz")) * (1 - sum(10 ** spell(w) for w in one))
+        assert seen + other == pytest.approx(1)
+
+
+def test_lm_without_training(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, held_out=F.lit(True)).collect()}
+    assert got[1].train_tokens == 0 and got[1].n_known == 0 and got[1].score == pytest.approx(5 * math.log10(1 / 256))
+
+
 def test_models_bear_odd_rows(spark, docs, labels):
     lang = langid.predict(docs, docs, held_out=langid.held_out_of()).collect()
     assert len(lang) == len(ROWS) and {r.lang_pred for r in lang if r.doc_id in (2, 3, 4)} == {"und"} and all(0 <= r.score <= 1 for r in lang)
