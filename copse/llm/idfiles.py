@@ -21,7 +21,7 @@ from .rangecoder import BLOCK, decode_block, encode_block
 from .tokens import default_tokenizer, encoder
 
 #: Ids in a file, about; a file ends with the document that reaches this.
-FILE_IDS = 2 * BLOCK
+FILE_IDS = BLOCK
 TAIL = b"CXFT"
 
 
@@ -94,7 +94,7 @@ def write(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         own = encoder(name)
         for b in batches:
             texts = strings(b.column(1))
-            for s, e in slices(texts, 2_000_000):
+            for s, e in slices(texts, 8_000_000, 8192):
                 got, starts = own.encode(texts.slice(s, e - s), end)
                 ids.append(got)
                 sizes.append(np.diff(starts))

@@ -161,7 +161,7 @@ def packed(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
         for b in batches:
             texts = strings(b.column(1))
-            for s, e in slices(texts, 2_000_000):
+            for s, e in slices(texts, 8_000_000, 8192):
                 got, starts = own.encode(texts.slice(s, e - s), end)
                 ids.append(got)
                 sizes.append(np.diff(starts))

@@ -14,7 +14,7 @@ from zlib import crc32
 
 import numpy as np
 
-LANES, STEPS = 8192, 256
+LANES, STEPS = 16384, 256
 #: Ids in a block at most.
 BLOCK = LANES * STEPS
 TOP, WORD, WHOLE, NONE = np.uint64(1 << 48), np.uint64(16), np.uint64(1 << 16), np.uint64(0)
@@ -26,8 +26,8 @@ HASH_BITS = 20
 GRID = (8, 8, 2, 8)
 #: What is summed over, for the frequencies that are mixed.
 VIEWS = ((1, 3), (0, 3), (0, 1, 2), (3,))
-#: Order-0 shares of 2**12 at which the next state begins.
-COMMON = np.array([1, 2, 4, 8, 16, 32, 64])
+#: The state of an order-0 share of 2**12: the next begins at 1, 2, 4, 8, 16, 32 and 64.
+COMMON = np.searchsorted([1, 2, 4, 8, 16, 32, 64], np.arange(4097), side="right").astype(np.int32)
 
 
 def logistic_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +89,17 @@ class Model:
     def order_zero(self) -> None:
         self.cum = np.concatenate([[NONE], np.cumsum(self.freq)])
         self.total = int(self.cum[-1])
-        share = (self.freq << np.uint64(12)) // np.uint64(self.total)
-        self.common = np.searchsorted(COMMON, share, side="right").astype(np.int32)
+        self.common = COMMON.take((self.freq << np.uint64(12)) // np.uint64(self.total))
+        # The total is the alphabet and GAIN an id at most, so 32 bits hold it; the table is half as large for it.
+        self.ends = self.cum[1:].astype(np.uint32)
+
+    def id_at(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose order-0 range the values lie; ascending values are found several times as fast."""
+        value = np.minimum(value, np.uint64(self.total - 1)).astype(np.uint32)
+        order = np.argsort(value)
+        out = np.empty(len(value), np.int32)
+        out[order] = np.searchsorted(self.ends, value[order], side="right")
+        return out
 
     def shares(self) -> None:
         """Of 2**16, for either candidate, by state."""
@@ -120,7 +129,7 @@ class Model:
         self.one[self.before1] = self.moved(self.got1, ids, self.b == ids)
         self.escaped.append(escaped)
         self.steps += 1
-        if self.steps < 16 or self.steps % 4 == 0:
+        if self.steps < 16 or self.steps % (4 if self.steps < 64 else 8) == 0:
             self.first.learn(self.state, is_a)
             left = np.flatnonzero(~is_a & ((self.state & 8) == 0))
             self.second.learn(self.state[left], is_b[left])
@@ -252,8 +261,7 @@ def decode_block(data: memoryview) -> tuple[np.ndarray, int]:
         y = esc
         if len(esc):
             r = width[esc] // np.uint64(model.total)
-            y = np.searchsorted(model.cum, (code[esc] - low[esc]) // r, side="right") - 1
-            y = np.minimum(y, alphabet - 1).astype(np.int32)
+            y = model.id_at((code[esc] - low[esc]) // r)
             low[esc] += r * model.cum[y]
             width[esc] = r * model.freq[y]
             x[esc] = y

@@ -11,24 +11,30 @@ import pyarrow.compute as pc
 
 from .common import lowered, text_bytes
 
-#: Classes of bytes: white space, ASCII letters, digits, the apostrophe, other ASCII, beyond ASCII.
-SPACE, LETTER, DIGIT, APOSTROPHE, OTHER, WIDE = range(6)
+#: Classes of bytes: white space, ASCII letters, digits, the apostrophe, other ASCII, both bytes of Latin letters beyond
+#: ASCII (U+00C0 to U+024F without signs, and without one whose small letter has a mark of its own), others beyond ASCII.
+SPACE, LETTER, DIGIT, APOSTROPHE, OTHER, LATIN, WIDE = range(7)
 KIND = np.full(256, OTHER, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = SPACE
 KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 KIND[48:58] = DIGIT
 KIND[39] = APOSTROPHE
 KIND[128:] = WIDE
+LATIN_PAIR = np.zeros((256, 256), bool)
+for _c in range(0xC0, 0x250):
+    if _c not in (0xD7, 0xF7, 0x130):
+        LATIN_PAIR[tuple(chr(_c).encode())] = True
 #: Between which neighbours a text may be cut: where the tokenizer's own pattern always cuts. Beyond ASCII a byte alone
 #: doesn't tell, and after an apostrophe a letter may belong to it.
-CUT = np.zeros((6, 6), bool)
+CUT = np.zeros((7, 7), bool)
 CUT[SPACE, :] = CUT[:, SPACE] = True
 CUT[LETTER, [DIGIT, APOSTROPHE, OTHER]] = True
-CUT[DIGIT, [LETTER, DIGIT, APOSTROPHE, OTHER]] = True
-CUT[OTHER, [LETTER, DIGIT]] = True
-CUT[APOSTROPHE, DIGIT] = True
+CUT[LATIN, [DIGIT, APOSTROPHE, OTHER]] = True
+CUT[DIGIT, [LETTER, DIGIT, APOSTROPHE, OTHER, LATIN]] = True
+CUT[OTHER, [LETTER, DIGIT, LATIN]] = True
+CUT[APOSTROPHE, [DIGIT, LATIN]] = True
 #: Distinct words kept for later batches; beyond that, the table begins anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -44,8 +50,11 @@ def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if not len(data):
         return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
     kind = KIND[data]
+    wide = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))
+    wide = wide[LATIN_PAIR[data[wide], data[wide + 1]]]
+    kind[wide] = kind[wide + 1] = LATIN
     edge = np.ones(len(data), bool)
-    edge[1:] = CUT.reshape(-1)[kind[:-1] * np.uint8(6) + kind[1:]]
+    edge[1:] = CUT.reshape(-1)[kind[:-1] * np.uint8(7) + kind[1:]]
     edge[offsets[:-1][offsets[:-1] < len(data)]] = True
     solid = kind != SPACE
     edge &= solid
@@ -77,8 +86,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
-        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
         self.clear()
 
     def clear(self) -> None:
@@ -92,9 +101,9 @@ class WordEncoder:
         if piece.isascii():
             if piece.isalpha():
                 return [x.id for x in self.model.tokenize(piece)]  # already in lower case
-        elif piece.isalpha() and max(piece) < "\u0250" and (normal := self.normal.normalize_str(piece)).isalpha():
-            letters = self.letters
-            return [x.id for x in self.model.tokenize("".join([letters[b] for b in normal.encode()]))]
+        elif piece.isalpha() and max(piece) < "\u0250" and (small := piece.lower()).isalpha():
+            # These letters are one character each in every normal form.
+            return [x.id for x in self.model.tokenize(small.encode().decode("latin-1").translate(self.letters))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def learn(self, pieces: list[str]) -> None:

@@ -40,7 +40,7 @@ def ids_of(tokenizer, text):
 def test_words_encode_as_the_whole_text(tokenizer):
     rnd = random.Random(1)
     signs = ["a", "B", "é", "İ", "ß", "'", "'s", "'LL", "1", "23", ".", "-", "“", " ", "\n", " ", "é", "<|", "|>", "<|endoftext|>", "日本", "Σ", "ς", " ", "\x00", "٣"]
-    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 12))) for _ in range(1500)]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 12))) for _ in range(6000)]
     got, starts = tokenizer.encode(pa.array(texts, pa.large_string()), 2)
     for i, t in enumerate(texts):
         assert got[starts[i] : starts[i + 1]].tolist() == ids_of(tokenizer, t).tolist(), repr(t)
@@ -55,6 +55,15 @@ def test_range_coder_round_trip(n):
         assert size == len(data) and (got == ids).all()
 
 
+def test_contexts_make_files_smaller():
+    rng = np.random.default_rng(1)
+    phrases = [rng.integers(0, 40_000, 12) for _ in range(500)]
+    ids = np.concatenate([phrases[i] for i in rng.integers(0, 500, 40_000)]).astype(np.uint32)
+    n = np.bincount(ids)
+    order_zero = -(n[n > 0] * np.log2(n[n > 0] / len(ids))).sum() / 8
+    assert len(rangecoder.encode_block(ids)) < order_zero / 2
+
+
 def test_damage_is_found():
     data = bytearray(rangecoder.encode_block(np.arange(5000, dtype=np.uint32)))
     data[len(data) // 2] ^= 1
