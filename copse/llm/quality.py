@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ODD, fitted, lowered, run_hashes, slices, stored, strings, text_bytes, tidy
+from .common import ODD, lowered, run_hashes, slices, stored, strings, text_bytes, tidy
 
 BITS = 14
-#: Each text counts as at least so many n-grams, so that the mean over a few of them isn't taken at its word.
-LEAST = 20
+#: So many n-grams of the target are taken to be as in the raw text.
+PRIOR = 1000
 #: Bytes of words (digits, letters, _, all beyond ASCII), of white space, and others.
 KIND = np.full(256, 2, np.uint8)
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
@@ -73,30 +73,24 @@ def counted(documents: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def mean_ratios(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log ratio of each text, in all and a n-gram."""
+def log_ratios(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    """The log importance weight of each text: what the target's model gives it against the raw text's."""
     code, starts = features(texts)
     total = np.concatenate([[0.0], np.cumsum(ratio[code])])
-    whole = total[starts[1:]] - total[starts[:-1]]
-    return whole, whole / np.maximum(np.diff(starts), LEAST)
+    return total[starts[1:]] - total[starts[:-1]]
 
 
-def ratios_and_split(marks: list[int], texts: list[str], raw: np.ndarray, lose: float) -> tuple[np.ndarray, float]:
-    """The log ratio of each bucket, and the weight that tells target texts from others; see resample()."""
-    good = pa.array([t for t, y in zip(texts, marks, strict=True) if y], pa.large_string())
-    other = pa.array([t for t, y in zip(texts, marks, strict=True) if not y], pa.large_string())
-    wanted = np.zeros(1 << BITS)
-    for s, e in slices(good, 1_000_000):
-        wanted += np.bincount(features(good.slice(s, e - s))[0], minlength=1 << BITS)
+def ratio_of(wanted: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The log ratio of each bucket; the raw text's shares stand in for PRIOR n-grams of the target's."""
     prior = (raw + 1) / (raw + 1).sum()
-    target = (wanted + 1000 * prior) / (wanted.sum() + 1000)
-    ratio = np.log(target) - np.log(prior)
-    weigh = lambda a: np.concatenate([np.zeros(0), *(mean_ratios(a.slice(s, e - s), ratio)[1] for s, e in slices(a, 1_000_000))])
-    wanted_at, other_at = weigh(good), weigh(other)
-    split = float(np.quantile(wanted_at, lose)) if len(wanted_at) else -1e9
-    if len(wanted_at) and len(other_at):
-        split -= max(0.0, split - float(np.quantile(other_at, 1 - lose))) / 2
-    return ratio, split
+    target = (wanted + PRIOR * prior) / (wanted.sum() + PRIOR)
+    return np.log(target) - np.log(prior)
+
+
+def gumbel(*parts: Column | int) -> Column:
+    """Gumbel noise from a hash: the same on a rerun, another for another seed."""
+    u = (F.pmod(F.xxhash64(*(p if isinstance(p, Column) else F.lit(p) for p in parts)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
 
 
 def kth_largest(values: DataFrame, col: str, k: int) -> float:
@@ -117,52 +111,53 @@ def kth_largest(values: DataFrame, col: str, k: int) -> float:
     return high
 
 
-def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", per_class: int = 3000, lose: float = 0.002, sharpness: float = 200.0, carry: bool = False) -> DataFrame:
-    """Keeps documents that are like the target text, which are those labelled 1.
+def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", share: float | None = None, per_class: int = 3000, seed: int = 9, carry: bool = False) -> DataFrame:
+    """Draws documents that are like the target text, which are those labelled 1.
 
-    Two generative models over hashed n-grams: of the target, from a bounded sample of labelled rows (at most about
-    `per_class` of each label, those of least hashed id), and of the raw text, from all documents. The mean log ratio of
-    a text's n-grams is its weight. The split is the weight below which a share `lose` of the sampled targets lies, or, if
-    even lower, the middle between that and the weight above which that share of the sampled others lies; as many as lie above are kept: those with the k largest of sharpness * (weight - split) + Gumbel noise,
-    which is a sample without replacement by weight, nearly certain but for documents close to the split. The noise comes
-    from the id and the text, so a rerun keeps the same.
+    Two generative models over hashed n-grams: of the target, from a bounded sample of its labelled rows (at most about
+    `per_class`, those of least hashed id), and of the raw text, from all documents. log_ratio, the log importance weight
+    of a document, is the log of the ratio of what both give to its whole text. Of n documents k = share * n (rounded) are
+    drawn without replacement, by these weights: they are those with the k largest of log_ratio + Gumbel noise. Without a
+    `share`, it is that of the target among all labelled rows, and a standard error more, as a draw too small would lose
+    some of the target. So the noise decides between documents whose weights are a
+    few factors of e apart, and hardly between others. It comes from the seed, the id and the text, so a rerun draws the
+    same.
 
-    Returns a row for each row: the id, log_ratio (of the whole text), weight (a n-gram), gumbel_key and kept. Null and
-    empty texts have weight 0. Repeated rows share a key; if the k-th largest key is tied, all of its rows are kept. If
-    no labels are given, or all texts are empty, all are kept. Other columns are ignored. carry: returns the rows of documents that are kept
-    instead, with all their columns.
+    Returns a row for each row: the id, log_ratio, gumbel_key and kept. Null and empty texts have log_ratio 0. Repeated
+    rows share a key; if the k-th largest key is tied, all of its rows are kept. Without labels all are kept, and without
+    a labelled target, of which nothing is known then, none. Other columns are ignored. carry: returns the rows of
+    documents that are kept instead, with all their columns.
     """
     spark = documents.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("_lid"), (F.col(label_col) > 0).cast("int").alias("_y"), F.pmod(F.xxhash64(label_id_col), F.lit(1 << 30)).alias("_at"))
     sizes = {r._y: r["count"] for r in marks.groupBy("_y").count().collect()}
-    few = lambda y: int(min(1.0, per_class / max(1, sizes.get(y, 1))) * (1 << 30))
-    chosen = marks.where(F.col("_at") <= F.when(F.col("_y") == 1, few(1)).otherwise(few(0))).select("_lid", "_y")
+    if share is None:
+        n = sum(sizes.values())
+        share = sizes.get(1, 0) / n if n else 1.0
+        share += (share * (1 - share) / max(1, n)) ** 0.5
+    few = int(min(1.0, per_class / max(1, sizes.get(1, 1))) * (1 << 30))
+    chosen = marks.where((F.col("_y") == 1) & (F.col("_at") <= few)).select("_lid").distinct()
     docs = documents.select(F.col(id_col), F.col(text_col))
     # The sample of labels is bounded, so it goes to the documents.
-    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).where(F.col(text_col).isNotNull()).select("_y", F.col(text_col).alias("_t"))
-    raw = counted(docs, text_col)
-    ratio, split = fitted(known, lambda marks, texts: ratios_and_split(marks, texts, raw, lose))
+    target = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid"), "left_semi")
+    ratio = ratio_of(counted(target, text_col), counted(docs, text_col))
     shared = spark.sparkContext.broadcast(ratio)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column(0).field(text_at))
-            found = [mean_ratios(texts.slice(s, e - s), shared.value) for s, e in slices(texts, 1_000_000)]
-            whole = np.concatenate([x for x, _ in found]) if found else np.zeros(0)
-            mean = np.concatenate([x for _, x in found]) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0) if carry else pa.StructArray.from_arrays([b.column(0).field(0)], [id_col]), pa.array(whole), pa.array(mean), b.column(1)], names=["row", "log_ratio", "weight", "u"])
+            found = [np.zeros(0), *(log_ratios(texts.slice(s, e - s), shared.value) for s, e in slices(texts, 1_000_000))]
+            yield pa.RecordBatch.from_arrays([b.column(0) if carry else pa.StructArray.from_arrays([b.column(0).field(0)], [id_col]), pa.array(np.concatenate(found)), b.column(1)], names=["row", "log_ratio", "noise"])
 
-    chance = (F.pmod(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     columns = documents.columns if carry else [id_col, text_col]
     text_at = columns.index(text_col)
-    given = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), chance.alias("_u"))
+    given = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), gumbel(seed, F.col(id_col), F.col(text_col)).alias("noise"))
     row = given.schema["row"] if carry else StructField("row", StructType([documents.schema[id_col]]))
-    kinds = StructType([row, StructField("log_ratio", DoubleType()), StructField("weight", DoubleType()), StructField("u", DoubleType())])
-    scored = given.mapInArrow(tidy(run), kinds)
-    scored = stored(scored.select("row", "log_ratio", "weight", (sharpness * (F.col("weight") - split) - F.log(-F.log("u"))).alias("gumbel_key")), "weights")
-    k = scored.where(F.col("weight") >= split).count()
+    kinds = StructType([row, StructField("log_ratio", DoubleType()), StructField("noise", DoubleType())])
+    scored = stored(given.mapInArrow(tidy(run), kinds).select("row", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("gumbel_key")), "weights")
+    k = round(share * scored.count())
     least = kth_largest(scored.select("gumbel_key"), "gumbel_key", k) if k else float("inf")
     enough = F.col("gumbel_key") >= F.lit(least)
     if carry:
         return scored.where(enough).select("row.*")
-    return scored.select(f"row.`{id_col}`", "log_ratio", "weight", "gumbel_key", enough.alias("kept"))
+    return scored.select(f"row.`{id_col}`", "log_ratio", "gumbel_key", enough.alias("kept"))

@@ -402,8 +402,39 @@ def test_quality_keeps_the_target(spark):
     rows = [(i, " ".join(rnd.choices(good if i % 3 else junk, k=60))) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marks = df.where("doc_id < 300").select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
-    got = {r.doc_id: r.kept for r in quality.resample(df, marks).collect()}
+    got = {r.doc_id: r.kept for r in quality.resample(df, marks, share=2 / 3).collect()}
     assert sum(got[i] == bool(i % 3) for i in range(600)) >= 595
+    assert sum(r.kept for r in quality.resample(df, marks).collect()) == round(600 * (2 / 3 + math.sqrt(2 / 9 / 300)))
+    assert quality.resample(df, marks, share=0.5, seed=1).where("kept").count() == 300
+
+
+def test_quality_weights_are_those_of_both_models(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 12)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, quality int")
+    buckets = lambda t: quality.features(pa.array([t], pa.large_string()))[0].tolist()
+    wanted, raw = [0.0] * (1 << quality.BITS), [0.0] * (1 << quality.BITS)
+    for i, t in rows:
+        for k in buckets(t):
+            raw[k] += 1
+            wanted[k] += i < 10
+    n, m = sum(raw) + len(raw), sum(wanted)
+    ratio = lambda k: math.log((wanted[k] + quality.PRIOR * (raw[k] + 1) / n) / (m + quality.PRIOR) / ((raw[k] + 1) / n))
+    got = {r.doc_id: r for r in quality.resample(df, marks).collect()}
+    for i, t in rows:
+        assert got[i].log_ratio == pytest.approx(sum(map(ratio, buckets(t))), abs=1e-9)
+    keys = sorted((r.gumbel_key for r in got.values()), reverse=True)
+    assert sorted((r.gumbel_key for r in got.values() if r.kept), reverse=True) == keys[: sum(r.kept for r in got.values())]
+
+
+def test_gumbel_noise_draws_by_weight(spark):
+    weights = [0.0, 0.5, 1.0, 2.0]
+    rows = spark.createDataFrame(list(enumerate(weights)), "i int, w double").crossJoin(spark.range(4000).withColumnRenamed("id", "seed"))
+    best = rows.withColumn("key", F.col("w") + quality.gumbel(F.col("seed"), F.col("i"))).groupBy("seed").agg(F.max_by("i", "key").alias("i"))
+    n = {r.i: r["count"] for r in best.groupBy("i").count().collect()}
+    total = sum(map(math.exp, weights))
+    assert all(abs(n[i] / 4000 - math.exp(w) / total) < 0.03 for i, w in enumerate(weights))
 
 
 def page(host, n, body):
