@@ -5,11 +5,12 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_join, stored, tidy
@@ -31,6 +32,13 @@ MAIN = {"article", "main"}
 #: distinct pages, all that fill it must, two or more.
 SHARE, PAGES = 0.9, 12
 KEPT = 6
+#: Characters of wrappers that are sent to all tasks at most; beyond that they are joined to the pages.
+SENT = 16_000_000
+#: Elements nested deeper are siblings on this level, as in browsers, which stop at some depth too. No text is lost.
+DEEPEST = 200
+#: Lists of children whose lengths multiply to more are matched in order of first fit; a wrapper's node keeps the slots that
+#: most pages fill, up to WIDEST.
+MATCHED, WIDEST = 40_000, 400
 #: Sums of parts of pages are off by less.
 TINY = 1e-6
 #: No element that is one of these, or holds one, is template as a whole.
@@ -114,7 +122,7 @@ def parse(page: str) -> Node:
         name = re.sub(r"\d+", "", attrs.get("class", "")).strip()
         node = Node(f"{tag}.{name}" if name else tag, tag, boilerplate(tag, attrs))
         stack[-1].kids.append(node)
-        if not (m[3].endswith("/") and tag in ("svg", "path")):
+        if len(stack) <= DEEPEST and not (m[3].endswith("/") and tag in ("svg", "path")):
             stack.append(node)
     close_run()
     return root
@@ -163,62 +171,94 @@ def note(counts: dict[str, float], key: str, n: float) -> None:
 
 
 def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists, by label, in order: the pairs of the largest matching."""
-    if a == b:
-        return [(i, i) for i in range(len(a))]
+    """Simple tree matching of two child lists, by label, in order: the pairs of the largest matching.
+
+    Where the lists are too long for that (MATCHED), each of b takes the first fitting one of a that is left.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(i, i) for i in range(head)]
+    end = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) * len(b) > MATCHED:
+        spots: dict[str, list[int]] = {}
+        for i, x in enumerate(a):
+            spots.setdefault(x, []).append(i)
+        at = 0
+        for j, x in enumerate(b):
+            own = spots.get(x, ())
+            k = bisect_left(own, at)
+            if k < len(own):
+                out.append((own[k] + head, j + head))
+                at = own[k] + 1
+        return out + end
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + (a[i] == b[j]))
-    out, i, j = [], 0, 0
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i, j = 0, 0
     while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((i, j))
+        if a[i] == b[j]:
+            out.append((i + head, j + head))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return out
+    return out + end
 
 
-def merge_lists(kids: list[dict], others: list[dict], depth: int) -> None:
+def merge_lists(kids: list[dict], others: list[dict]) -> None:
     """Aligns others with kids and adds them in: matched nodes are merged, the rest inserted where they stand."""
-    pairs = matched([k["l"] for k in kids], [o["l"] for o in others])
-    at, put = {j: i for i, j in pairs}, []
-    place = 0
-    for j, o in enumerate(others):
-        if j in at:
-            w = kids[at[j]]
-            place = at[j] + 1
-            w["n"] += o["n"]
-            for key, n in o["t"].items():
-                note(w["t"], key, n)
-            if depth < 40:
-                merge_lists(w["k"], o["k"], depth + 1)
-        else:
-            put.append((place, o))
-    for place, o in reversed(put):
-        kids.insert(place, o)
-
-
-def pattern(nodes: list[Node], label: str, depth: int = 0, part: float = 1) -> dict:
+    todo = [(kids, others)]
+    while todo:
+        kids, others = todo.pop()
+        pairs = matched([k["l"] for k in kids], [o["l"] for o in others])
+        at, put = {j: i for i, j in pairs}, []
+        place = 0
+        for j, o in enumerate(others):
+            if j in at:
+                w = kids[at[j]]
+                place = at[j] + 1
+                w["n"] += o["n"]
+                for key, n in o["t"].items():
+                    note(w["t"], key, n)
+                todo.append((w["k"], o["k"]))
+            else:
+                put.append((place, o))
+        for place, o in reversed(put):
+            kids.insert(place, o)
+        if len(kids) > WIDEST:
+            least = sorted((k["n"] for k in kids), reverse=True)[WIDEST - 1]
+            spare = WIDEST - sum(k["n"] > least for k in kids)
+            kept = []
+            for k in kids:
+                if k["n"] > least or k["n"] == least and spare > 0:
+                    spare -= k["n"] == least
+                    kept.append(k)
+            kids[:] = kept
+
+
+def pattern(nodes: list[Node], label: str, part: float = 1) -> dict:
     """What one page, or a part of one, says of a slot: all nodes of the slot at once, their children folded together."""
     out = {"l": label, "n": part, "t": {}, "k": []}
     if key := text_key(nodes):
         out["t"][key] = part
-    if depth < 40:
-        for node in nodes:
-            own = [pattern(kids, name, depth + 1, part) for name, kids in folded(node)]
-            if not out["k"]:
-                out["k"] = own
-            else:
-                for x in own:
-                    x["t"] = {}
-                have = {k["l"] for k in out["k"]}
-                out["k"] += [x for x in own if x["l"] not in have]
-                for k in out["k"]:  # a slot in a repeated element varies
-                    k["t"] = {}
+    for node in nodes:
+        own = [pattern(kids, name, part) for name, kids in folded(node)]
+        if not out["k"]:
+            out["k"] = own
+        else:
+            for x in own:
+                x["t"] = {}
+            have = {k["l"] for k in out["k"]}
+            out["k"] += [x for x in own if x["l"] not in have]
+            for k in out["k"]:  # a slot in a repeated element varies
+                k["t"] = {}
     return out
 
 
@@ -266,9 +306,10 @@ def blocks(page: str, wrapper: dict | None) -> list[str]:
     return marked or [t for t, _ in found]
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower().removeprefix("www.") if m else ""
+def host_of(url_col: str) -> Column:
+    """The host of a url in small letters without www., or none."""
+    host = F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -281,7 +322,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Returns a row for each row: the id, the url, text and n_chars. Null and empty pages have empty text; pages with a
     null or unusable url are one host. Other columns are ignored. White space in a block becomes one space, and blocks
-    are joined by one newline.
+    are joined by one newline. Elements may be nested to any depth (see DEEPEST).
     """
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +332,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             return pa.RecordBatch.from_pydict({"host": list(hosts), "wrapper": [json.dumps(w) for w in hosts.values()]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
         for b in batches:
-            for url, page, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, page, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not page:
                     continue
-                one = pattern([parse(page)], "#root", 0, 1 / (many or 1))
-                host = host_of(url)
+                one = pattern([parse(page)], "#root", 1 / (many or 1))
                 if host in hosts:
                     hosts[host]["n"] += one["n"]
-                    merge_lists(hosts[host]["k"], one["k"], 0)
+                    merge_lists(hosts[host]["k"], one["k"])
                 else:
                     hosts[host] = one
             if len(hosts) > 2000:
@@ -318,17 +358,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 else:
                     more = json.loads(w)
                     whole["n"] += more["n"]
-                    merge_lists(whole["k"], more["k"], 0)
+                    merge_lists(whole["k"], more["k"])
         if host is not None:
             yield pa.RecordBatch.from_pydict({"host": [host], "wrapper": [json.dumps(whole)]})
 
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
     # How often a host holds the same page, where it does so more than once.
-    page = rows.select(url_col, html_col, F.xxhash64(host, F.col(html_col)).alias("page"))
+    page = rows.select("host", "html", F.xxhash64("host", "html").alias("page"))
     copies = stored(page.groupBy("page").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "copies")
-    partial = page.join(copies, "page", "left").select(url_col, html_col, "many").mapInArrow(tidy(induce), "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
+    partial = page.join(copies, "page", "left").select("host", "html", "many").mapInArrow(tidy(induce), "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
     some = partial.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInArrow(tidy(merged), "host string, wrapper string")
     whole = some.repartition(tasks, "host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(merged), "host string, wrapper string")
     whole = stored(whole, "wrappers")
@@ -338,9 +377,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         wrappers: dict[str, dict | None] = {}
         for b in batches:
             texts = []
-            given = b.column(3).to_pylist() if known is None else [None] * b.num_rows
-            for url, page, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), given, strict=True):
-                host = host_of(url)
+            given = b.column(4).to_pylist() if known is None else [None] * b.num_rows
+            for page, host, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), given, strict=True):
                 if host not in wrappers:
                     if len(wrappers) > 500:
                         wrappers.clear()
@@ -350,8 +388,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kinds = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` {pages.schema[url_col].dataType.simpleString()}, text string, n_chars long"
-    if size <= 16_000_000:  # few hosts: all wrappers go to all tasks
+    if size <= SENT:  # few hosts: all wrappers go to all tasks
         shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in whole.collect()})
         return rows.mapInArrow(lambda it: text_of(it, shared.value), kinds)
-    joined = keyed_join(rows.withColumn("host", host), whole, "host").select(id_col, url_col, html_col, "wrapper")
+    joined = keyed_join(rows, whole, "host").select("id", "url", "html", "host", "wrapper")
     return joined.mapInArrow(lambda it: text_of(it, None), kinds)

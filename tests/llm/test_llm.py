@@ -470,6 +470,38 @@ def test_page_text_of_small_hosts(spark):
     assert got[10].startswith("Tip of one") and got[20].startswith("Tip False") and got[21].startswith("Tip True")
 
 
+def test_matching_is_the_largest(monkeypatch):
+    rnd = random.Random(4)
+    for _ in range(300):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 6))] for _ in range(2))
+        best = max(k for k in range(7) for c in combinations(range(len(a)), k) for d in combinations(range(len(b)), k) if [a[i] for i in c] == [b[j] for j in d])
+        got = htmltext.matched(a, b)
+        assert len(got) == best and got == sorted(got) and all(a[i] == b[j] for i, j in got)
+        with monkeypatch.context() as m:
+            m.setattr(htmltext, "MATCHED", 0)
+            got = htmltext.matched(a, b)
+        assert got == sorted(got) and len({i for i, _ in got}) == len(got) <= best and all(a[i] == b[j] for i, j in got)
+
+
+def test_page_text_by_the_wrapper_alone(spark, monkeypatch):
+    def one(i, host, block):
+        return (i, f"https://{host}/{i}", f"<html><body><div><p>{block}</p></div><section><p>Story {host} {i}</p><p>More of {i}</p></section></body></html>")
+
+    rows = [one(i, "a.org", "Always said") for i in range(15)] + [one(20 + i, "b.org", "Always said") for i in range(3)] + [one(30, "c.org", "Always said")]
+    deep = "<div>" * 5000 + "Deep down" + "</div>" * 5000 + "<p>Later"
+    rows += [(40, "https://d.org/", deep), (41, "https://e.org/", "".join(f"<x{i}>t{i}</x{i}>" for i in range(900))), (42, "https://e.org/", "".join(f"<x{i}>u{i}</x{i}>" for i in range(900, 0, -1)))]
+    df = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string").repartition(4)
+    parts = []
+    for sent in (16_000_000, 0):
+        monkeypatch.setattr(htmltext, "SENT", sent)
+        parts.append({r.page_id: r.text for r in htmltext.extract(df).collect()})
+    got = parts[0]
+    assert parts[1] == got
+    assert [got[i] for i in range(15)] == [f"Story a.org {i}\nMore of {i}" for i in range(15)]
+    assert got[21] == "Story b.org 21\nMore of 21" and got[30].startswith("Always said")
+    assert got[40] == "Deep down\nLater" and got[41].split("\n") == [f"t{i}" for i in range(900)]
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
