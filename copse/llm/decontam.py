@@ -10,8 +10,9 @@ from .common import KEY, marked, row_key, stored
 #: What stands between words, which are of digits, a-z and all characters beyond ASCII once A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many distinct words of windows are sent to all executors; with more, the join shuffles on the word.
-SENT_WORDS = 50_000
+#: Up to so many distinct words, and windows of so many characters in all, are sent to all executors; with more, the joins
+#: shuffle on the word.
+SENT_WORDS, SENT_CHARS = 50_000, 50_000_000
 
 
 def words(text: Column) -> Column:
@@ -46,8 +47,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     have no words and so no hits. Rows that repeat an id are each judged by their own text; a null id is kept. Items
     with a null id, a null text or no words take no part; items of the same id are one item. Other columns are ignored.
 
-    The window words go to all executors as a set while there are no more than SENT_WORDS distinct ones; beyond that
-    every word of the documents is shuffled to its windows instead. Neither way drops anything.
+    The windows and their words go to all executors while they are few (SENT_WORDS, SENT_CHARS); beyond that every word
+    of the documents is shuffled to the windows' rarest words, and only what is around the words found is then looked at.
+    Neither way drops anything.
     """
     wins, vocab, small = benchmark_windows(benchmark, item_col, item_text_col, size)
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -77,9 +79,10 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, item_text_col: str, size: int) -> tuple[DataFrame, DataFrame, bool]:
     """The windows, their distinct words, and whether these are few enough to send."""
-    wins = windows_of(benchmark, item_col, item_text_col, size)
+    wins = stored(windows_of(benchmark, item_col, item_text_col, size), "windows")
     vocab = wins.select(F.explode("win").alias("w")).distinct()
-    return wins, vocab, vocab.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    chars = wins.agg(F.sum(F.length("item") + F.length(F.concat_ws(" ", "win")))).first()[0] or 0
+    return wins, vocab, chars <= SENT_CHARS and vocab.limit(SENT_WORDS + 1).count() <= SENT_WORDS
 
 
 def judged(docs: DataFrame, wins: DataFrame, vocab: DataFrame, small: bool, only_hits: bool = False) -> DataFrame:
@@ -89,40 +92,49 @@ def judged(docs: DataFrame, wins: DataFrame, vocab: DataFrame, small: bool, only
     """
     # How often each word of a window stands in the documents.
     spread = docs.select(F.explode(words(F.col("_text"))).alias("w"))
-    spread = spread.join(F.broadcast(vocab) if small else vocab, "w", "left_semi")
+    if small:
+        spread = spread.join(F.broadcast(vocab), "w", "left_semi")
     counts = spread.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    if not small:  # summed up before the words are shuffled
+        counts = counts.join(vocab, "w", "left_semi")
     ranked = (
         wins.select("item", "win", "len", F.posexplode("win").alias("at", "w"))
-        .join(counts, "w", "left")
+        .join(F.broadcast(counts) if small else counts, "w", "left")
         .groupBy("item", "win", "len")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "at")).alias("rare"))
         .where(F.col("rare.n") > 0)
         .groupBy("win", "len", F.col("rare.w").alias("w"), F.col("rare.at").alias("at"))
         .agg(F.sort_array(F.collect_set("item")).alias("window_items"))
     )
-    ranked = stored(ranked, "windows")  # as small as the benchmark
+    ranked = stored(ranked, "ranked")  # as small as the benchmark
     first = [r.w for r in ranked.select("w").distinct().collect()] if small else []
     most = wins.agg(F.max("len")).first()[0] or 1
 
     # A row for each place with such a word, with the words around it; place -1 stands for the document itself.
     held = docs.select("_id", row_key("_id", "_text").alias("_h"), words(F.col("_text")).alias("ws")).withColumn("n_words", F.size("ws"))
+    start = lambda i: F.greatest(i - (most - 1), F.lit(0))
+    itself = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("near"))
+
+    def around(places: Column) -> Column:
+        return F.transform(places, lambda i: F.struct(i.alias("i"), F.get("ws", i).alias("w"), start(i).alias("from"), F.slice("ws", start(i) + 1, i - start(i) + most).alias("near")))
+
+    def each(held: DataFrame, places: Column) -> DataFrame:
+        return held.select("_id", "_h", "n_words", F.explode(places).alias("p")).select("_id", "_h", "n_words", "p.*")
+
     if small:
         hit = lambda w: w.isin(first) if first else F.lit(False)
-        places = F.array_compact(F.transform("ws", lambda w, i: F.when(hit(w), i)))
+        places = around(F.array_compact(F.transform("ws", lambda w, i: F.when(hit(w), i))))
+        rows = each(held, places if only_hits else F.concat(F.array(itself), places)).join(F.broadcast(ranked), "w", "left")
     else:
-        places = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1)).otherwise(F.array().cast("array<int>"))
-    start = lambda i: F.greatest(i - (most - 1), F.lit(0))
-    around = F.transform(
-        places,
-        lambda i: F.struct(i.alias("i"), F.get("ws", i).alias("w"), start(i).alias("from"), F.slice("ws", start(i) + 1, i - start(i) + most).alias("near")),
-    )
-    itself = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("near")))
-    rows = held.select("_id", "_h", "n_words", F.explode(around if only_hits else F.concat(itself, around)).alias("p")).select("_id", "_h", "n_words", "p.*")
+        spots = held.select("_h", F.posexplode("ws").alias("i", "w")).join(ranked.select("w").distinct(), "w", "left_semi")
+        spots = spots.groupBy("_h").agg(F.collect_set("i").alias("places"))
+        rows = each(held.join(spots, "_h"), around(F.col("places"))).join(ranked, "w")
+        if not only_hits:
+            rows = rows.unionByName(each(held, F.array(itself)), allowMissingColumns=True)
     begins = F.col("i") - F.col("at")
     alike = F.slice("near", begins - F.col("from") + 1, F.col("len")) == F.col("win")
     found = (
-        rows.join(F.broadcast(ranked) if small else ranked, "w", "left")
-        .withColumn("begins", F.when((begins >= 0) & (begins + F.col("len") <= F.col("n_words")), begins))
+        rows.withColumn("begins", F.when((begins >= 0) & (begins + F.col("len") <= F.col("n_words")), begins))
         .withColumn("ok", F.coalesce(F.when(F.col("begins").isNotNull(), alike), F.lit(False)))
         .where((F.col("i") == -1) | F.col("ok"))
     )

@@ -134,12 +134,13 @@ def test_decontamination(spark, monkeypatch):
                         got.add(str(item))
         want.append((i, len(ws), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), len(got) >= 2))
     key = lambda r: tuple(map(str, r))
-    for limit in (50_000, 3):
+    for limit, chars in ((50_000, 1 << 30), (3, 1 << 30), (50_000, 10)):
         monkeypatch.setattr(decontam, "SENT_WORDS", limit)
+        monkeypatch.setattr(decontam, "SENT_CHARS", chars)
         found = decontam.decontaminate(rows, bench).drop("items").collect()
         assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
-    kept = decontam.uncontaminated(rows, bench)
-    assert kept.columns == rows.columns and kept.count() == sum(not r[-1] for r in want)
+        kept = decontam.uncontaminated(rows, bench)
+        assert kept.columns == rows.columns and kept.count() == sum(not r[-1] for r in want)
     assert decontam.decontaminate(rows.where("false"), bench).count() == 0
     assert {r.n_items for r in decontam.decontaminate(rows, bench.where("false")).collect()} == {0}
 
