@@ -94,7 +94,7 @@ def write(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         own = encoder(name)
         for b in batches:
             texts = strings(b.column(1))
-            for s, e in slices(texts, 8_000_000, 8192):
+            for s, e in slices(texts, 4_000_000, 4096):
                 got, starts = own.encode(texts.slice(s, e - s), end)
                 ids.append(got)
                 sizes.append(np.diff(starts))
