@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.impurity import forecast, loss
@@ -95,7 +95,7 @@ def finished(nodes: DataFrame, criterion: str, n_classes: int, dirichlet: float)
     return stored(with_losses(named, criterion, n_classes, dirichlet), "named")
 
 
-def with_losses(nodes: DataFrame, criterion: str, n_classes: int, dirichlet: float) -> DataFrame:
+def with_losses(nodes: DataFrame, criterion: str, n_classes: int, dirichlet: float | Column) -> DataFrame:
     """Adds y_pred and loss_valid, from the moments alone: no rows are needed to change the smoothing."""
     m = 3 if criterion == "mse" else n_classes
     train, valid = ([F.get(c, i) for i in range(m)] for c in ("w_train_k", "w_valid_k"))

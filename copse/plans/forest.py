@@ -149,6 +149,15 @@ class ForestModel:
         nodes = with_losses(self.raw.drop("y_pred", "loss_valid"), p.criterion, self.n_classes, p.dirichlet)
         return ForestModel(p, self.encoder, self.classes, nodes, self.n_rows, self.n_classes)
 
+    def leaves_for(self, steps: Sequence[float], dirichlets: Sequence[float]) -> DataFrame:
+        """(step, dirichlet, tree, path, prediction, ...): what the leaves predict under each pair of settings."""
+        spark = self.raw.sparkSession
+        pairs = spark.createDataFrame([(float(s), float(a)) for a in dirichlets for s in steps], "step double, dirichlet double")
+        nodes = self.raw.drop("y_pred", "loss_valid").crossJoin(F.broadcast(pairs))
+        nodes = stored(with_losses(nodes, self.params.criterion, self.n_classes, F.col("dirichlet")), "settings")
+        keys = ("tree", "step", "dirichlet")
+        return leaf_predictions(log_weights(nodes, F.col("step"), keys), F.col("step"), self.params.aggregation, keys)
+
     def apply(self, df: DataFrame, key: str, *, bins: bool = False) -> DataFrame:
         """A row (key, tree, path) for each row and tree, at its leaf."""
         trees = self.nodes.select("tree").distinct()
