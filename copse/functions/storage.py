@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,9 +13,12 @@ SENT_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all machines see; one in /tmp only where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir, which all machines see. Where none is set, one in /tmp on a local master, as
+    in tests; on a cluster that is an error, as executors would write to disks of their own."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir should name a folder that all machines share")
         path = made.get() if made.isDefined() else "file:///tmp/checkpoints/copse-core"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,6 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a stored() frame that nothing needs any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        if "/copse-" in file:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file[: file.index("/", file.index("/copse-") + 1)])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has no more than SENT_ROWS rows."""
     return F.broadcast(df) if rows <= SENT_ROWS else df

@@ -27,10 +27,16 @@ def quantile_ranks(n: int, max_bins: int) -> list[tuple[int, int]]:
 
 
 def between(a: float, b: float) -> float:
-    """The middle of two values."""
+    """The middle of two values of a rank."""
     return min(a if a == b else b - (b - a) * 0.5, HIGHEST)
 
 
+def middle(a: float, b: float) -> float:
+    """The middle of two neighbours."""
+    half = (a + b) * 0.5
+    return min(half if abs(half) != float("inf") else a * 0.5 + b * 0.5, HIGHEST)
+
+
 def thresholds(df: DataFrame, names: Sequence[str], max_bins: int) -> dict[str, list[float]]:
     """Of each numeric feature, the ascending thresholds of its bins: middles of neighbours if there are up to max_bins
     distinct values, else quantiles. All features are worked out together, from their counted values."""
@@ -43,7 +49,7 @@ def thresholds(df: DataFrame, names: Sequence[str], max_bins: int) -> dict[str,
     out: dict[str, list[float]] = {c: [] for c in names}
     if few:
         for r in counts.where(F.col("feature").isin(few)).groupBy("feature").agg(F.array_sort(F.collect_list("x")).alias("xs")).collect():
-            out[names[r.feature]] = [between(a, b) for a, b in zip(r.xs, r.xs[1:], strict=False)]
+            out[names[r.feature]] = [middle(a, b) for a, b in zip(r.xs, r.xs[1:], strict=False)]
     many = [f for f in sizes if f not in few]
     if many:
         ranks = {f: quantile_ranks(sizes[f][1], max_bins) for f in many}
@@ -164,5 +170,11 @@ class Encoder:
         return EncoderModel(names, categorical, numeric, cuts, {c: list(values[i]) for i, c in enumerate(named)}, self.handle_unknown, self.out_col)
 
 
+def fit_transform(encoder: Encoder, df: DataFrame, names: Sequence[str] | None = None) -> tuple[EncoderModel, DataFrame]:
+    """The model, and df with its bins."""
+    model = encoder.fit(df, names)
+    return model, model.transform(df)
+
+
 def load_state(spark: SparkSession, path: str) -> EncoderModel:
     return EncoderModel.from_state(spark.read.text(path).first()[0])

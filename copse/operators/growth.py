@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.impurity import forecast, loss
-from ..functions.storage import sent_if_small, stored
+from ..functions.storage import dropped, sent_if_small, stored
 from .histograms import NODE, best_splits, histograms, node_totals, routed, scanned
 from .sampling import depth_cap, sampled_features
 
@@ -37,7 +37,8 @@ def grow(assign: DataFrame, rules: Rules) -> DataFrame:
 
     Each round works on all nodes of one depth: their totals, which of them are to be split, histograms over the features
     drawn for them, the best splits, and the rows' way to the children. The rows of finished nodes drop out. A node is
-    named by its path from the root, 1 for left and 0 for right. A table for each depth cuts the lineage; the driver sees counts only.
+    named by its path from the root, 1 for left and 0 for right. A table for each depth cuts the lineage, and goes when the
+    next is there (that of `assign` too); the driver sees counts only.
     """
     frontier = None
     levels: list[DataFrame] = []
@@ -67,7 +68,9 @@ def grow(assign: DataFrame, rules: Rules) -> DataFrame:
         levels.append(cur.drop("open").join(best, NODE, "left"))
         sides = F.explode(F.array(F.struct(F.lit("1").alias("side"), F.col("impurity_left").alias("impurity")), F.struct(F.lit("0").alias("side"), F.col("impurity_right").alias("impurity"))))
         frontier = best.select("tree", "path", sides.alias("c")).select("tree", F.concat("path", "c.side").alias("path"), "c.impurity")
-        assign = stored(routed(assign, sent_if_small(best, n_open)), "assigned")
+        before, assign = assign, stored(routed(assign, sent_if_small(best, n_open)), "assigned")
+        dropped(before)
+        dropped(hist)
         depth += 1
     nodes = levels[0]
     for x in levels[1:]:

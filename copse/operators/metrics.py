@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash48
 from ..functions.storage import running_total
 
 
@@ -33,20 +34,45 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     return both.agg(F.when(F.sum("pos") > 0, F.sum(F.col("tp") / F.col("n") * F.col("pos")) / F.sum("pos")).alias("average_precision"))
 
 
+def _each_class(df: DataFrame, label: str, probabilities: str, n_classes: int) -> DataFrame:
+    """(k, s, pos, all): for each class and score the rows of the class, and all rows."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(label) == k).cast("long").alias("y"), F.get(probabilities, k).alias("s")) for k in range(n_classes))))
+    rows = df.where(F.col(label).isNotNull()).select(each.alias("x")).select("x.*").where(F.col("s").isNotNull())
+    return rows.groupBy("k", F.col("s").cast("double").alias("s")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("all"))
+
+
+def class_aucs(df: DataFrame, label: str, probabilities: str, n_classes: int) -> DataFrame:
+    """(k, n, roc_auc, average_precision) for each class against the rest, all in one pass; null where a side is missing."""
+    cells = _each_class(df, label, probabilities, n_classes)
+    ranked = running_total(running_total(cells, ["k"], ["s"], F.col("pos"), "pos_upto"), ["k"], ["s"], F.col("all"), "all_upto")
+    sums = cells.groupBy("k").agg(F.sum("pos").alias("n"), F.sum("all").alias("total"))
+    rest = F.col("all") - F.col("pos")
+    below = (F.col("all_upto") - F.col("pos_upto")) - rest
+    tp, at = F.col("n") - F.col("pos_upto") + F.col("pos"), F.col("total") - F.col("all_upto") + F.col("all")
+    got = ranked.join(F.broadcast(sums), "k").groupBy("k").agg(F.first("n").alias("n"), F.first("total").alias("total"), F.sum(F.col("pos") * (below + 0.5 * rest)).alias("won"), F.sum(tp / at * F.col("pos")).alias("ap"))
+    pairs = F.col("n") * (F.col("total") - F.col("n"))
+    return got.select("k", "n", F.when(pairs > 0, F.col("won") / pairs).alias("roc_auc"), F.when(F.col("n") > 0, F.col("ap") / F.col("n")).alias("average_precision"))
+
+
+def averaged(scores: DataFrame, name: str) -> DataFrame:
+    """One row of class_aucs(): the mean over classes, and that weighted by their rows."""
+    known = F.col(name).isNotNull()
+    return scores.agg(F.avg(name).alias("macro"), (F.sum(F.col(name) * F.col("n")) / F.sum(F.when(known, F.col("n")))).alias("weighted"))
+
+
 def multiclass_auc(df: DataFrame, label: str, probabilities: str, n_classes: int, how: str = "ovr", average: str = "macro") -> float:
     """One class against the rest (macro or weighted by class size), or all pairs of classes (macro)."""
-    value = lambda rows, k: rows.withColumn("_l", (F.col(label) == k).cast("int")).withColumn("_s", F.get(probabilities, k))
     if how == "ovr":
-        got = [roc_auc(value(df, k), "_l", "_s").first()[0] for k in range(n_classes)]
-        sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-        weights = [sizes.get(k, 0) if average == "weighted" else 1 for k in range(n_classes)]
-        known = [(g, w) for g, w in zip(got, weights, strict=True) if g is not None]
-        return sum(g * w for g, w in known) / sum(w for _, w in known)
-    pairs = []
-    for a, b in combinations(range(n_classes), 2):
-        rows = df.where(F.col(label).isin(a, b))
-        pairs += [roc_auc(value(rows, k), "_l", "_s").first()[0] for k in (a, b)]
-    return sum(pairs) / len(pairs)
+        return averaged(class_aucs(df, label, probabilities, n_classes), "roc_auc").first()[average]
+    pairs = [F.when(F.col(label).isin(a, b), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))) for a, b in combinations(range(n_classes), 2)]
+    each = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p"), label, probabilities).select("p.*", label, probabilities)
+    sides = F.explode(F.array(*(F.struct(F.col(c).alias("one"), (F.col(label) == F.col(c)).cast("long").alias("y"), F.get(F.col(probabilities), F.col(c)).cast("double").alias("s")) for c in ("a", "b"))))
+    cells = each.select("a", "b", sides.alias("x")).select("a", "b", "x.*").groupBy("a", "b", "one", "s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("all"))
+    keys = ["a", "b", "one"]
+    rest = F.col("all") - F.col("pos")
+    ranked = running_total(cells, keys, ["s"], rest, "neg")
+    won = ranked.groupBy(*keys).agg((F.sum(F.col("pos") * (F.col("neg") - rest + 0.5 * rest)) / (F.sum("pos") * F.sum(rest))).alias("auc"))
+    return won.agg(F.avg("auc")).first()[0]
 
 
 def likelihood(label: str, probabilities: str) -> Column:
@@ -100,6 +126,12 @@ def grid(spark: object, **axes: list) -> DataFrame:
     return out
 
 
+def drawn_settings(spark: object, n: int, seed: int = 0, **axes: list) -> DataFrame:
+    """(trial, settings...): n random choices of settings, each by a hash of the seed, the trial and the setting's name."""
+    pick = lambda name, values: F.get(F.array(*(F.lit(v) for v in values)), F.pmod(hash48(seed, F.col("trial"), name), F.lit(len(values))).cast("int"))
+    return spark.range(n).select(F.col("id").alias("trial")).select("trial", *(pick(k, v).alias(k) for k, v in axes.items()))
+
+
 def what_if(model: object, df: DataFrame, key: str, label_code: str, steps: list[float], dirichlets: list[float]) -> DataFrame:
     """(step, dirichlet, log_loss) of a classifier for each pair of settings, without growing a tree again.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,22 @@ def one_vs_rest(df: DataFrame, label_code_col: str, n_classes: int) -> DataFrame
     return df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))).withColumn("y", (F.col(label_code_col) == F.col("k")).cast("int"))
 
 
+def redrawn(n_rows: int, trees: int, seed: int) -> dict[int, int]:
+    """The trees whose draws hit every row, and at which further attempt they leave one out of the bag.
+
+    That happens in small tables only: beyond 40 rows its chance is under 10 ** -16. A single row can't be left out.
+    """
+    out = {}
+    for tree in range(trees if 1 < n_rows <= 40 else 0):
+        for attempt in range(1000):
+            tail = f"|{attempt}" if attempt else ""
+            if len({int(md5(f"{seed}|{tree}|{i}{tail}".encode()).hexdigest()[:12], 16) % n_rows for i in range(n_rows)}) < n_rows:
+                break
+        if attempt:
+            out[tree] = attempt
+    return out
+
+
 def bootstrap(df: DataFrame, n_rows: int, trees: int, seed: int, id_col: str = "row_id") -> DataFrame:
     """A row (tree, id, n_drawn) for each tree and row that its n_rows draws with replacement hit.
 
@@ -41,7 +58,10 @@ def bootstrap(df: DataFrame, n_rows: int, trees: int, seed: int, id_col: str = "
     counted map-side before they are shuffled.
     """
     draws = df.select(F.col(id_col).alias("draw")).crossJoin(F.broadcast(df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))))
-    hit = F.pmod(hash48(seed, F.col("tree"), F.col("draw")), F.lit(n_rows)).alias(id_col)
+    h = hash48(seed, F.col("tree"), F.col("draw"))
+    for tree, attempt in redrawn(n_rows, trees, seed).items():
+        h = F.when(F.col("tree") == tree, hash48(seed, F.col("tree"), F.col("draw"), attempt)).otherwise(h)
+    hit = F.pmod(h, F.lit(n_rows)).alias(id_col)
     return draws.select("tree", hit).groupBy("tree", id_col).agg(F.count(F.lit(1)).cast("int").alias("n_drawn"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.storage import numbered, sent_if_small, stored
-from ..operators import sampling
+from ..operators import metrics, sampling
 from ..operators.aggregation import leaf_predictions, log_weights
 from ..operators.encoder import Encoder, EncoderModel
 from ..operators.growth import Rules, grow, with_losses
@@ -205,6 +205,13 @@ class ForestModel:
         p = F.col("probabilities")
         return self.predict_proba(df, key).select(key, F.get(labels, (F.array_position(p, F.array_max(p)) - 1).cast("int")).alias("prediction"), "probabilities")
 
+    def score(self, df: DataFrame, label: str, key: str) -> float:
+        """The share of rows whose label is predicted, or R2 of a regression."""
+        got = self.predict(df, key).select(key, F.col("prediction").alias("_said")).join(df.select(key, F.col(label).alias("_true")), key)
+        if self.params.criterion == "mse":
+            return metrics.errors(got.withColumn("_true", F.col("_true").cast("double")), "_true", "_said").first()["r2"]
+        return metrics.accuracy(got, "_true", "_said").first()[0]
+
     def weighted_depth(self, df: DataFrame, key: str) -> DataFrame:
         """(key, weighted_depth): the depth averaged as predictions are, and over trees."""
         return self.at_leaves(df, key).groupBy(key).agg(F.avg("weighted_depth").alias("weighted_depth"))

@@ -62,7 +62,7 @@ def quantile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "position int, threshold double").withColumn("threshold", r6("threshold"))
 
 
-@query("WITH x AS (SELECT DISTINCT l_quantity AS v FROM lineitem), y AS (SELECT v, lead(v) OVER (ORDER BY v) AS w, row_number() OVER (ORDER BY v) AS i FROM x) SELECT CAST(i AS INTEGER) AS position, round(w - (w - v) * 0.5, 6) AS threshold FROM y WHERE w IS NOT NULL")
+@query("WITH x AS (SELECT DISTINCT l_quantity AS v FROM lineitem), y AS (SELECT v, lead(v) OVER (ORDER BY v) AS w, row_number() OVER (ORDER BY v) AS i FROM x) SELECT CAST(i AS INTEGER) AS position, round((v + w) * 0.5, 6) AS threshold FROM y WHERE w IS NOT NULL")
 def midpoint_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = thresholds(table(spark, sf_dir, "lineitem"), ["l_quantity"], 256)["l_quantity"]
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "position int, threshold double").withColumn("threshold", r6("threshold"))
@@ -88,7 +88,7 @@ def unknown_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(df).select("k", F.get("bins", 0).cast("long").alias("code"))
 
 
-@query(f"WITH {LINES}, v AS (SELECT DISTINCT l_quantity AS v FROM lineitem), e AS (SELECT v, lag(v) OVER (ORDER BY v) AS p, lead(v) OVER (ORDER BY v) AS n FROM v) SELECT k, l_tax AS tax, coalesce(v - (v - p) * 0.5, CAST('-inf' AS DOUBLE)) AS low, coalesce(n - (n - v) * 0.5, CAST('inf' AS DOUBLE)) AS high FROM lines JOIN e ON v = l_quantity")
+@query(f"WITH {LINES}, v AS (SELECT DISTINCT l_quantity AS v FROM lineitem), e AS (SELECT v, lag(v) OVER (ORDER BY v) AS p, lead(v) OVER (ORDER BY v) AS n FROM v) SELECT k, l_tax AS tax, coalesce((p + v) * 0.5, CAST('-inf' AS DOUBLE)) AS low, coalesce((v + n) * 0.5, CAST('inf' AS DOUBLE)) AS high FROM lines JOIN e ON v = l_quantity")
 def inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = small_encoder(spark, sf_dir)
     got = model.inverse(model.transform(lines(spark, sf_dir)))
@@ -261,6 +261,35 @@ def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("feature", "bin_threshold", "is_split_categorical", F.array_join(F.col("bin_partition").cast("array<string>"), ",").alias("bin_partition"), F.round("gain", 4).alias("gain"))
 
 
+@query(BEST + ", q AS (SELECT count(*) FILTER (t)::DOUBLE AS n, 1 - pow(count(*) FILTER (t AND y = 0) / count(*) FILTER (t)::DOUBLE, 2) - pow(count(*) FILTER (t AND y = 1) / count(*) FILTER (t)::DOUBLE, 2) - pow(count(*) FILTER (t AND y = 2) / count(*) FILTER (t)::DOUBLE, 2) AS g FROM a) SELECT round(g + gain / n, 6) AS information_gain FROM z, q")
+def information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = histograms.scanned(root_histogram(spark, sf_dir), [False, True, True], "gini", 3)
+    cut = histograms.candidates(scans, "gini", 3, min_samples_leaf=5).orderBy(F.round("gain", 6).desc(), "feature", "key", "bin").limit(1)
+    names = histograms.names_of("gini", 3)
+    left, right, node = [F.col(f"{m}_l") for m in names], [F.col(f"{m}_a") - F.col(f"{m}_l") for m in names], [F.col(f"{m}_a") for m in names]
+    w = impurity.weight_of(node, "gini")
+    gain = impurity.information_gain(w, impurity.impurity(node, "gini"), w, impurity.weight_of(left, "gini"), F.col("impurity_left"), impurity.weight_of(right, "gini"), F.col("impurity_right"))
+    return cut.select(r6(gain).alias("information_gain"))
+
+
+def keyed_scan(key: str) -> str:
+    """SCAN with another order of categories."""
+    return SCAN.replace("m1 / (m0 + m1 + m2)", key)
+
+
+@query(f"{keyed_scan('m0 / (m0 + m1 + m2)')}, x0 AS (SELECT 0 AS scan, feature, bin, gain FROM j WHERE feature > 0) SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, round(gain, 4) AS gain FROM x0")
+def all_strategy_first_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories in the order of class 0, one of the scans that the strategy `all` makes."""
+    scans = histograms.scanned(root_histogram(spark, sf_dir), [False, True, True], "gini", 3, "all")
+    return histograms.candidates(scans, "gini", 3, min_samples_leaf=5).where("scan = 0 and feature > 0").select("feature", "bin", F.round("gain", 4).alias("gain"))
+
+
+@query(f"""{keyed_scan("[m0, m1, m2][(" + HASH("concat_ws('|', 4, 'class', 0, '', feature)") + " % 3)::INT + 1] / (m0 + m1 + m2)")} SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, round(gain, 4) AS gain FROM j""")
+def random_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = histograms.scanned(root_histogram(spark, sf_dir), [False, True, True], "gini", 3, "random", 4)
+    return histograms.candidates(scans, "gini", 3, min_samples_leaf=5).select("feature", "bin", F.round("gain", 4).alias("gain"))
+
+
 @query(BEST + ", s AS (SELECT a.k, CASE WHEN z.is_cat THEN a.bins[z.feature + 1] IN (SELECT o.bin FROM o, z WHERE o.feature = z.feature AND o.n_train > 0 AND (o.key < z.key OR (o.key = z.key AND o.bin <= z.bin))) ELSE a.bins[z.feature + 1] <= z.bin END AS l FROM a, z) SELECT k, CASE WHEN l THEN '1' ELSE '0' END AS path FROM s")
 def routed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = histograms.scanned(root_histogram(spark, sf_dir), [False, True, True], "gini", 3)
@@ -304,6 +333,34 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(scored(spark, sf_dir), "y", "s").select(r6("average_precision").alias("average_precision"))
 
 
+#: Probabilities of three classes that are made up from the quantity.
+THREE = f"WITH {SCORED}, t AS (SELECT CASE truth WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, [s / 100, 0.5 - s / 200, 0.5 - s / 200 + p / 1e7] AS ps FROM scored), e AS (SELECT k, c = k AS y, ps[k + 1] AS s FROM t, (SELECT unnest([0, 1, 2]) AS k)), r AS (SELECT k, y, s, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS r FROM e), a AS (SELECT k, count(*) FILTER (y) AS n, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS roc_auc FROM r GROUP BY k), g AS (SELECT k, s, count(*) FILTER (y) AS pos, count(*) AS n FROM e GROUP BY 1, 2), c AS (SELECT k, pos, sum(pos) OVER (PARTITION BY k ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY k ORDER BY s DESC) AS n FROM g), b AS (SELECT k, sum(tp / n::DOUBLE * pos) / sum(pos) AS average_precision FROM c GROUP BY k)"
+
+
+def three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, p = F.col("s"), F.col("p")
+    return scored(spark, sf_dir).select(sampling.label_code("truth", ["A", "N", "R"]).alias("c"), F.array(s / 100, 0.5 - s / 200, 0.5 - s / 200 + p / 1e7).alias("ps"))
+
+
+@query(f"{THREE} SELECT CAST(k AS INTEGER) AS k, n, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM a JOIN b USING (k)")
+def class_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.class_aucs(three_classes(spark, sf_dir), "c", "ps", 3)
+    return got.select("k", "n", r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))
+
+
+@query(f"{THREE} SELECT round(avg(roc_auc), 6) AS auc_macro, round(sum(roc_auc * n) / sum(n), 6) AS auc_weighted, round(avg(average_precision), 6) AS ap_macro, round(sum(average_precision * n) / sum(n), 6) AS ap_weighted FROM a JOIN b USING (k)")
+def multiclass_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.class_aucs(three_classes(spark, sf_dir), "c", "ps", 3)
+    auc, ap = metrics.averaged(got, "roc_auc"), metrics.averaged(got, "average_precision")
+    return auc.select(r6("macro").alias("auc_macro"), r6("weighted").alias("auc_weighted")).crossJoin(ap.select(r6("macro").alias("ap_macro"), r6("weighted").alias("ap_weighted")))
+
+
+@query(f"{THREE.split(', r AS')[0]}, pr AS (SELECT a, b, unnest([a, b]) AS one FROM (VALUES (0, 1), (0, 2), (1, 2)) x(a, b)), m AS (SELECT a, b, one, c = one AS y, ps[one + 1] AS s FROM t JOIN pr ON c = a OR c = b), r AS (SELECT *, rank() OVER (PARTITION BY a, b, one ORDER BY s) + (count(*) OVER (PARTITION BY a, b, one, s) - 1) / 2.0 AS r FROM m), u AS (SELECT (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM r GROUP BY a, b, one) SELECT round(avg(auc), 6) AS auc_ovo FROM u")
+def pairwise_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.multiclass_auc(three_classes(spark, sf_dir), "c", "ps", 3, how="ovo")
+    return spark.createDataFrame([(round(got, 6),)], "auc_ovo double")
+
+
 @query(f"WITH {SCORED} SELECT round(avg(-ln(CASE WHEN y = 1 THEN s / 51 ELSE 1 - s / 51 END)), 6) AS log_loss, round(avg((truth = guess)::INT), 6) AS accuracy FROM scored")
 def loss_and_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir).withColumn("p", F.array(1 - F.col("s") / 51, F.col("s") / 51))
@@ -349,6 +406,11 @@ def settings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.grid(spark, step=[0.1, 1.0, 10.0], dirichlet=[0.5, 2.0])
 
 
+@query(f"SELECT trial, [0.1::DOUBLE, 1.0, 10.0][({HASH("concat_ws('|', 5, trial, 'step')")} % 3)::INT + 1] AS step, [0.5::DOUBLE, 2.0][({HASH("concat_ws('|', 5, trial, 'dirichlet')")} % 2)::INT + 1] AS dirichlet FROM (SELECT unnest(generate_series(0, 19)) AS trial)")
+def drawn_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.drawn_settings(spark, 20, 5, step=[0.1, 1.0, 10.0], dirichlet=[0.5, 2.0])
+
+
 def _terms(h: list[float], form: str) -> str:
     return " + ".join(form.format(h=a, t=b, w=c) for a, b, c in zip(h, signals.PLACES, signals.WIDTHS, strict=True))
 

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from copse import queries
-from copse.functions import checks
+from copse.functions import checks, storage
 from copse.operators import aggregation, metrics
-from copse.operators.encoder import Encoder
-from copse.operators.sampling import max_features
+from copse.operators.encoder import Encoder, fit_transform
+from copse.operators.sampling import bootstrap, label_code, max_features, redrawn
 from copse.plans.forest import ForestClassifier, ForestModel, ForestRegressor, Params
 from copse.sources.tables import read_csv, write_csv
 
@@ -36,7 +36,7 @@ def test_subsample_draws_equal_rows_evenly(spark):
 def test_registered_forests_take_all_rows(spark, monkeypatch):
     made = []
     monkeypatch.setattr(ForestClassifier, "fit", lambda self, *a, **b: made.append(self.params.subsample))
-    monkeypatch.setattr(queries, "lines", lambda *a: None)
+    monkeypatch.setattr(queries, "rows", lambda *a: None)
     queries.classifier(spark, "")
     assert made == [None]
 
@@ -127,6 +127,43 @@ def test_forest_learns_and_nodes_are_sound(data, model):
         assert left.n_samples_valid + right.n_samples_valid == r.n_samples_valid and min(left.n_samples_train, left.n_samples_valid) >= 1
 
 
+def test_score_and_what_if(data, model):
+    said = {r.id: r.prediction for r in model.predict(data, "id").collect()}
+    assert model.score(data, "y", "id") == pytest.approx(sum(said[r.id] == r.y for r in data.collect()) / 600)
+    coded = data.withColumn("code", label_code("y", model.classes))
+    got = {(r.step, r.dirichlet): r.log_loss for r in metrics.what_if(model, coded, "id", "code", [0.3, 1.0], [2.0]).collect()}
+    one = model.with_settings(step=0.3, dirichlet=2.0).predict_proba(data, "id").join(coded.select("id", "code"), "id")
+    assert set(got) == {(0.3, 2.0), (1.0, 2.0)} and got[0.3, 2.0] == pytest.approx(metrics.log_loss(one, "code", "probabilities").first()[0])
+    line = ForestRegressor(n_estimators=3, max_depth=4, max_features=None).fit(data, "t", key="id", features=["x", "g"])
+    assert 0.9 < line.score(data, "t", "id") <= 1
+
+
+def test_a_bag_leaves_a_row_out(spark):
+    df = spark.range(3).withColumnRenamed("id", "row_id")
+    again = redrawn(3, 40, 1)
+    assert again
+    sizes = {r.tree: r["count"] for r in bootstrap(df, 3, 40, 1).groupBy("tree").count().collect()}
+    assert len(sizes) == 40 and max(sizes.values()) < 3 and redrawn(1, 5, 0) == {}
+
+
+def test_fit_transform_is_fit_then_transform(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("x"))
+    model, coded = fit_transform(Encoder(max_bins=5, is_categorical=[False]), df)
+    assert [r.bins for r in coded.collect()] == [r.bins for r in model.transform(df).collect()]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})())
+
+    session = type("Session", (), {"conf": {}, "sparkContext": Context})()
+    with pytest.raises(ValueError, match="all machines share"):
+        storage.shared_dir(session)
+
+
 def test_changed_settings_equal_a_refit(data, model):
     again = ForestClassifier(n_estimators=4, max_depth=5, max_features=None, dirichlet=2.0, step=0.3).fit(data, "y", key="id", features=["x", "g"])
     a = {r.id: r.probabilities for r in model.with_settings(dirichlet=2.0, step=0.3).predict_proba(data, "id").collect()}
