@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import pickle
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -28,10 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, for tables that cut the lineage.
 
     It is the one named in spark.checkpoint.dir. Only where none is set, as in tests on one machine, a folder in /tmp is
-    set and used.
+    set and used; on a cluster that is an error, as executors would write to disks of their own.
     """
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir should name a folder that all machines share")
         path = made.get() if made.isDefined() else "file:///tmp/checkpoints/copse"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
