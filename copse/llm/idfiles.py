@@ -23,6 +23,8 @@ from .tokens import default_tokenizer, encoder
 #: Ids in a file, about; a file ends with the document that reaches this.
 FILE_IDS = BLOCK
 TAIL = b"CXFT"
+#: Distinct words that a Python worker keeps here, about 200 bytes each.
+KEPT = 1_200_000
 
 
 def to_bytes(ids: np.ndarray, footer: pa.RecordBatch) -> bytes:
@@ -91,10 +93,10 @@ def write(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                 x.clear()
             return out
 
-        own = encoder(name)
+        own = encoder(name, KEPT)
         for b in batches:
             texts = strings(b.column(1))
-            for s, e in slices(texts, 4_000_000, 4096):
+            for s, e in slices(texts, 8_000_000, 8192):
                 got, starts = own.encode(texts.slice(s, e - s), end)
                 ids.append(got)
                 sizes.append(np.diff(starts))

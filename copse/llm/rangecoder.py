@@ -14,7 +14,7 @@ from zlib import crc32
 
 import numpy as np
 
-LANES, STEPS = 16384, 256
+LANES, STEPS = 32768, 256
 #: Ids in a block at most.
 BLOCK = LANES * STEPS
 TOP, WORD, WHOLE, NONE = np.uint64(1 << 48), np.uint64(16), np.uint64(1 << 16), np.uint64(0)

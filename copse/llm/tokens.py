@@ -81,7 +81,8 @@ class WordEncoder:
     may hold the name of a special token.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -107,7 +108,7 @@ class WordEncoder:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.slot) + len(pieces) > KEPT_WORDS:
+        if len(self.slot) + len(pieces) > self.kept:
             self.clear()
         new = [w for w in pieces if w not in self.slot]
         if not new:
@@ -159,15 +160,17 @@ class WordEncoder:
         size, first = np.insert(size, starts[1:], 1), np.insert(first, starts[1:], self.used)
         ids = np.append(self.ids[: self.used], np.uint32(end))
         upto = np.cumsum(size, dtype=np.int64)
-        out = ids[np.repeat(first - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        # Positions in a slice and in the table fit 32 bits.
+        shift = (first - (upto - size)).astype(np.int32)
+        out = ids[np.repeat(shift, size) + np.arange(int(upto[-1]) if len(upto) else 0, dtype=np.int32)]
         return out, np.concatenate([[0], upto[ends]]).astype(np.int64)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
     """One for each Python worker, which may run many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = WordEncoder(path, kept)
+    return _ENCODERS[path, kept]
