@@ -517,3 +517,36 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
         docs = spark.read.parquet(f"file://{tmp_path}/{name}")
         sizes.append(docs.count() if name != "packing" else docs.select("doc_id").distinct().count())
     assert sizes == sorted(sizes, reverse=True)[: len(sizes)] and sizes[-1] == sizes[-2] > 0
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, _bad int, _times int, _heavy int, row string, _copse_key long, items string, w int, fp long, x string"
+
+
+def test_pipeline_bears_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    long = " ".join(f"w{i % 997}x{i}" for i in range(20_000))
+    near = [f"n{i}" for i in range(200)]
+    item = " ".join(f"b{i}" for i in range(12))
+    texts = [(1, "plain words that are all right here"), (2, None), (3, ""), (4, " \n"), (5, long), (5, long), (None, "no id at all but some words"), (6, " ".join(near)), (7, " ".join([*near[:100], "other", *near[101:]])), (8, "before " + item + " after"), (9, "plain words that are all right here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, 2, 3, "r", 4, "i", 5, 6, "x") for i, t in texts], CLASHES)
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels.where("doc_id is not null")), ("benchmark", spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string"))):
+        df.write.parquet(f"{folder}/odd/{name}.parquet")
+        df.where("false").write.parquet(f"{folder}/none/{name}.parquet")
+    for case in ("odd", "none"):
+        got = spark.read.parquet(f"{folder}/{case}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, got, f"{folder}/{case}")
+            if name != "packing":
+                assert out.columns == docs.columns
+            out.write.parquet(f"{folder}/{case}/{name}")
+            before, got = got, spark.read.parquet(f"{folder}/{case}/{name}")
+            ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in got.select("doc_id").distinct().collect())
+            if case == "odd" and name == "near_duplicates":
+                # Texts without words are alike, copies and near copies are one, and of each group the least id stays.
+                assert [i for _, i in ids] == [0, 1, 2, 5, 6, 8] and got.count() == 6
+            if case == "odd" and name == "decontamination":
+                assert [i for _, i in ids] == [0, 1, 2, 5, 6]
+        assert got.count() == 0 if case == "none" else {r.doc_id for r in got.collect()} == {None, 1, 2, 5, 6}
