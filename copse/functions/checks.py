@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -83,20 +84,46 @@ def value_of(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
-def roles(df: DataFrame, names: Sequence[str], hint: Sequence[bool] | None = None, cat_min_categories: int | str = "log") -> list[bool]:
+def roles(df: DataFrame, names: Sequence[str], hint: Sequence[bool] | None = None, cat_min_categories: int | str = "log", verbose: bool = False) -> list[bool]:
     """Which features are categorical: names always; numbers by the hint, else if they have few distinct values.
 
     Missing values don't count. Distinct values are first estimated, in one pass over all columns; only those of columns
-    with few by that estimate are then counted exactly.
+    with few by that estimate are then counted exactly. verbose: a warning tells of each column that isn't as declared, or
+    was not declared.
     """
     numbers = [c for c in names if isinstance(df.schema[c].dataType, NUMBERS)]
+    tell = warnings.warn if verbose else lambda _: None
     if hint is not None:
+        for h, c in zip(hint, names, strict=True):
+            if not h and c not in numbers:
+                tell(f"Column {c} is categorical, as it holds no numbers, though it was declared as numeric")
         return [h or c not in numbers for h, c in zip(hint, names, strict=True)]
-    if not numbers:
-        return [True] * len(names)
-    got = df.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(value_of(df, c)).alias(f"d{i}") for i, c in enumerate(numbers))).first()
+    few: set[str] = set()
+    if numbers:
+        got = df.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(value_of(df, c)).alias(f"d{i}") for i, c in enumerate(numbers))).first()
+        limit = category_limit(cat_min_categories, got["n"])
+        near = [c for i, c in enumerate(numbers) if got[f"d{i}"] <= 2 * limit + 8]
+        exact = df.agg(*(F.count_distinct(value_of(df, c)).alias(f"d{i}") for i, c in enumerate(near))).first() if near else {}
+        few = {c for i, c in enumerate(near) if exact[f"d{i}"] <= limit}
+    out = [c not in numbers or c in few for c in names]
+    for k, c in zip(out, names, strict=True):
+        tell(f"Column {c} is taken as {'categorical' if k else 'numeric'}")
+    return out
+
+
+def array_roles(df: DataFrame, names: Sequence[str], hint: Sequence[bool] | None = None, cat_min_categories: int | str = "log") -> list[bool]:
+    """The same for columns of one array, whose type tells little: text may be numbers.
+
+    Without a hint a column with few distinct values is categorical (missing counts as one); one with many is numeric if
+    all its text can be read as numbers. Declared as numeric, it has to be.
+    """
+    text = [F.col(f"`{c}`").cast("string") for c in names]
+    unread = [F.count_if(t.isNotNull() & t.try_cast("double").isNull()) for t in text]
+    got = df.agg(F.count(F.lit(1)).alias("n"), *(u.alias(f"u{i}") for i, u in enumerate(unread)), *(F.count_distinct(F.coalesce(t, F.lit(""))).alias(f"d{i}") for i, t in enumerate(text))).first()
     limit = category_limit(cat_min_categories, got["n"])
-    near = [c for i, c in enumerate(numbers) if got[f"d{i}"] <= 2 * limit + 8]
-    exact = df.agg(*(F.count_distinct(value_of(df, c)).alias(f"d{i}") for i, c in enumerate(near))).first() if near else {}
-    few = {c for i, c in enumerate(near) if exact[f"d{i}"] <= limit}
-    return [c not in numbers or c in few for c in names]
+    if hint is None:
+        return [got[f"d{i}"] <= limit or got[f"u{i}"] > 0 for i in range(len(names))]
+    for i, (h, c) in enumerate(zip(hint, names, strict=True)):
+        if not h and got[f"u{i}"]:
+            raise ValueError(f"Column {c} is declared as numeric, but holds text that is no number")
+    return list(hint)

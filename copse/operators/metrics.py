@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -126,6 +127,15 @@ def grid(spark: object, **axes: list) -> DataFrame:
     return out
 
 
+def over_seeds(run: Callable[[int], DataFrame], seeds: Sequence[int]) -> DataFrame:
+    """(seed, ...): what run gives for each seed, one below the other; summary() then tells their mean and spread."""
+    out = None
+    for seed in seeds:
+        one = run(seed).select(F.lit(seed).alias("seed"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def drawn_settings(spark: object, n: int, seed: int = 0, **axes: list) -> DataFrame:
     """(trial, settings...): n random choices of settings, each by a hash of the seed, the trial and the setting's name."""
     pick = lambda name, values: F.get(F.array(*(F.lit(v) for v in values)), F.pmod(hash48(seed, F.col("trial"), name), F.lit(len(values))).cast("int"))

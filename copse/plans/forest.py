@@ -243,6 +243,11 @@ class ForestModel:
         top = self.nodes.groupBy("tree").agg(F.max("depth").alias("top"))
         return self.nodes.join(top, "tree").select("tree", "node_id", x.alias("x"), (F.col("top") - F.col("depth")).alias("y"))
 
+    def size_bytes(self) -> int:
+        """Characters of the nodes and settings as JSON: how large the model is, whatever format it is kept in."""
+        nodes = self.raw.agg(F.sum(F.length(F.to_json(F.struct(*self.raw.columns))))).first()[0] or 0
+        return nodes + len(self.encoder.state())
+
     def save(self, path: str) -> None:
         """Parquet of the nodes, and the settings as text."""
         spark = self.nodes.sparkSession

@@ -115,8 +115,8 @@ for _name, _source in {
     "kick": Source(_csv("kick.csv.gz", missing="?"), "IsBadBuy"),
     "internet": Source(_csv("internet.csv.gz", missing="?"), "Who_Pays_for_Access_Work"),
     "churn": Source(_csv("churn.csv.gz"), "class"),
-    "cardio": Source(_csv("cardio.csv", sep=";"), "CLASS"),
-    "boston": Source(_csv("boston.csv.gz"), "MEDV"),
+    "cardio": Source(_csv("cardiotocography.csv.gz", sep=";", decimal_comma=["MSTV", "MLTV"]), "CLASS", ("FileName", "Date", "SegFile", "NSP")),
+    "boston": Source(_csv("boston.csv.gz"), "medv"),
     "letter": Source(_csv("letter.csv.gz"), "y"),
     "satimage": Source(_csv("satimage.csv.gz"), "class"),
     "sensorless": Source(_csv("sensorless.csv.gz"), "y"),
@@ -124,6 +124,22 @@ for _name, _source in {
     "covtype": Source(_csv("covtype.csv.gz"), "label"),
     "higgs": Source(_csv("higgs.csv.gz", header=False), "_c0"),
     "default_cb": Source(lambda spark, folder: read_sheet(spark, f"{folder}/default_cb.xls", header=1), "default payment next month"),
+    "breastcancer": Source(_csv("breastcancer.csv.gz"), "target"),
+    "californiahousing": Source(_csv("californiahousing.csv.gz"), "MedHouseVal"),
+    "diabetes": Source(_csv("diabetes.csv.gz"), "target"),
+    "letor": Source(_csv("letor.csv.gz"), "0"),
+    "kddcup99": Source(_csv("kddcup99.csv.gz"), "labels"),
+    "diabetes_cl": Source(_csv("diabetes.csv"), "Outcome"),
+    "ionosphere": Source(_csv("ionosphere_data.xls"), "column_ai", ("column_b",)),  # delimited text in spite of its name
+    "phoneme": Source(_csv("phoneme.csv.gz"), "Class"),
+    "wilt2": Source(_csv("wilt2.csv.gz"), "class"),
+    "banknote": Source(_csv("banknote.csv.gz"), "Class"),
+    "heart": Source(_csv("heart.xls"), "target"),  # likewise
+    "heart2": Source(_csv("heart2.csv.gz"), "class"),
+    "gamma_particle": Source(_csv("gamma_particle.csv"), "class", ("ID",)),
+    "cc_default": Source(_csv("credit_card_defaulter.xls"), "default", ("_c0",)),  # likewise; the first column has no name
+    "hcv": Source(_csv("hepatitis.csv.gz"), "Category", ("_c0",)),
+    "smoke": Source(_csv("smoke_detection_iot.csv"), "Fire Alarm", ("_c0", "UTC")),
     "epsilon": Source(lambda spark, folder: read_svmlight(spark, f"{folder}/epsilon_normalized*"), "label"),
 }.items():
     REGISTRY.add(_name, _source)

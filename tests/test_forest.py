@@ -1,4 +1,6 @@
+import gzip
 import math
+import zipfile
 from itertools import product
 
 import pytest
@@ -10,7 +12,7 @@ from copse.operators import aggregation, metrics
 from copse.operators.encoder import Encoder, fit_transform
 from copse.operators.sampling import bootstrap, label_code, max_features, redrawn
 from copse.plans.forest import ForestClassifier, ForestModel, ForestRegressor, Params
-from copse.sources.tables import read_csv, write_csv
+from copse.sources.tables import REGISTRY, read_csv, read_svmlight, write_csv
 
 FRAME = [(0, "b", 3.0, "b", -4.0), (1, "a", 3.0, "a", 1.0), (1, "b", 0.0, "b", 2.0), (1, "c", -1.0, "c", 1.0), (0, "a", 42.0, "a", -3.0), (0, "a", 7.0, "a", 17.0), (0, "b", 1.0, "d", 2.0), (0, "c", 17.0, "c", 3.0), (1, "b", 8.0, "a", -1.0)]
 
@@ -65,6 +67,40 @@ def test_role_inference(spark):
         checks.categorical_mask([9], ["a"])
 
 
+def test_typing_warnings_and_array_rule(spark):
+    df = spark.range(100).select((F.col("id") % 3).cast("string").alias("few"), F.col("id").cast("string").alias("many"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") / 2).alias("number"))
+    with pytest.warns(UserWarning, match="few is categorical"):
+        assert checks.roles(df, df.columns, [False] * 4, verbose=True) == [True, True, True, False]
+    with pytest.warns(UserWarning, match="number is taken as numeric"):
+        checks.roles(df, df.columns, verbose=True)
+    assert checks.array_roles(df, df.columns) == [True, False, True, False]
+    assert checks.array_roles(df, ["many", "few"], [False, True]) == [False, True]
+    with pytest.raises(ValueError, match="no number"):
+        checks.array_roles(df, ["name"], [False])
+
+
+def test_register_reads_layouts(spark, tmp_path):
+    (tmp_path / "cardiotocography.csv.gz").write_bytes(gzip.compress(b"FileName;Date;SegFile;MSTV;MLTV;CLASS;NSP\nf;d;s;0,5;2,25;3;1\n"))
+    (tmp_path / "smoke_detection_iot.csv").write_text(",UTC,CNT,Fire Alarm\n0,1,2,1\n")
+    got, label = REGISTRY.load(spark, "cardio", f"file://{tmp_path}")
+    assert label == "CLASS" and [tuple(r) for r in got.collect()] == [(0.5, 2.25, 3)]
+    got, label = REGISTRY.load(spark, "smoke", f"file://{tmp_path}")
+    assert got.columns == ["CNT", "Fire Alarm"] and "heart2" in REGISTRY.names()
+    with pytest.raises(ValueError, match="no source"):
+        REGISTRY.load(spark, "unknown", "")
+    with zipfile.ZipFile(tmp_path / "bank.zip", "w") as z:
+        z.writestr("bank-full.csv", "age;y\n30;no\n40;yes\n")
+    got, label = REGISTRY.load(spark, "bank", f"file://{tmp_path}")
+    assert sorted(map(tuple, got.collect())) == [(30, "no"), (40, "yes")] and label == "y"
+    (tmp_path / "sparse.txt").write_text("1 1:0.5 3:2\n0 2:1\n")
+    assert [r.label for r in read_svmlight(spark, f"file://{tmp_path}/sparse.txt", 3).collect()] == [1.0, 0.0]
+
+
+def test_over_seeds(spark):
+    got = metrics.over_seeds(lambda s: spark.range(2).select((F.col("id") + s).cast("double").alias("v")), [1, 5])
+    assert metrics.summary(got, ["seed"], ["v"]).orderBy("seed").collect()[1].v_mean == 5.5
+
+
 @pytest.mark.parametrize("bad", [{"n_estimators": 0}, {"step": 0.0}, {"max_depth": 1}, {"dirichlet": 0.0}, {"min_samples_leaf": 0}, {"max_bins": 2}, {"class_weight": "x"}, {"random_state": -1}])
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
@@ -136,6 +172,7 @@ def test_score_and_what_if(data, model):
     assert set(got) == {(0.3, 2.0), (1.0, 2.0)} and got[0.3, 2.0] == pytest.approx(metrics.log_loss(one, "code", "probabilities").first()[0])
     line = ForestRegressor(n_estimators=3, max_depth=4, max_features=None).fit(data, "t", key="id", features=["x", "g"])
     assert 0.9 < line.score(data, "t", "id") <= 1
+    assert line.size_bytes() > 1000
 
 
 def test_a_bag_leaves_a_row_out(spark):
