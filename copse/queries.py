@@ -447,12 +447,12 @@ REGRESS = Case(lines_as("l_extendedprice / 10000", "l_quantity", "l_discount", "
 WHAT_IF = replace(CLASSIFY, settings=((0.1, 0.5), (1.0, 0.5), (0.1, 5.0), (1.0, 5.0)))
 
 
-def classifier(spark: SparkSession, sf_dir: str, **settings: object) -> ForestModel:
-    return ForestClassifier(**{"n_estimators": 5, "max_depth": 4, "max_bins": 64, "subsample": None, "categorical_features": ["l_tax", "l_linestatus"], **settings}).fit(rows(spark, sf_dir), "l_returnflag", key="k", features=FEATURES)
+def classifier(df: DataFrame, **settings: object) -> ForestModel:
+    return ForestClassifier(**{"n_estimators": 5, "max_depth": 4, "max_bins": 64, "subsample": None, "categorical_features": ["l_tax", "l_linestatus"], **settings}).fit(df, "l_returnflag", key="k", features=FEATURES)
 
 
-def regressor(spark: SparkSession, sf_dir: str) -> ForestModel:
-    return ForestRegressor(n_estimators=5, max_depth=5, max_bins=64, max_features=None, subsample=None, categorical_features=["l_tax", "l_returnflag"]).fit(rows(spark, sf_dir), "price", key="k", features=["l_quantity", "l_discount", "l_tax", "l_returnflag"])
+def regressor(df: DataFrame) -> ForestModel:
+    return ForestRegressor(n_estimators=5, max_depth=5, max_bins=64, max_features=None, subsample=None, categorical_features=["l_tax", "l_returnflag"]).fit(df, "price", key="k", features=["l_quantity", "l_discount", "l_tax", "l_returnflag"])
 
 
 SHARES = [f"p{i}" for i in range(3)]
@@ -460,35 +460,40 @@ SHARES = [f"p{i}" for i in range(3)]
 
 @query(f"{forest(CLASSIFY)} SELECT row_id AS k, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'A' WHEN p1 >= p2 THEN 'N' ELSE 'R' END AS prediction, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2 FROM ({mean_prediction(CLASSIFY)})")
 def forest_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = classifier(spark, sf_dir).predict(rows(spark, sf_dir), "k")
+    df = rows(spark, sf_dir)
+    got = classifier(df).predict(df, "k")
     return got.select("k", "prediction", *(r6(F.get("probabilities", i)).alias(c) for i, c in enumerate(SHARES)))
 
 
 @query()
 def forest_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier(spark, sf_dir, multiclass="ovr", n_estimators=2, class_weight="balanced", criterion="entropy").predict_proba(rows(spark, sf_dir), "k")
+    df = rows(spark, sf_dir)
+    return classifier(df, multiclass="ovr", n_estimators=2, class_weight="balanced", criterion="entropy").predict_proba(df, "k")
 
 
 @query(f"{forest(REGRESS)} SELECT row_id AS k, round(p0, 5) AS prediction, round(wd, 4) AS weighted_depth FROM ({mean_prediction(REGRESS)})")
 def forest_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = regressor(spark, sf_dir).at_leaves(rows(spark, sf_dir), "k")
+    df = rows(spark, sf_dir)
+    at = regressor(df).at_leaves(df, "k")
     got = at.groupBy("k").agg(F.avg(F.get("prediction", 0)).alias("prediction"), F.avg("weighted_depth").alias("weighted_depth"))
     return got.select("k", F.round("prediction", 5).alias("prediction"), F.round("weighted_depth", 4).alias("weighted_depth"))
 
 
 @query(f"{forest(CLASSIFY)} SELECT row_id AS k, CAST(tree AS INTEGER) AS tree, CAST(node_id AS INTEGER) AS leaf_id FROM at_leaf")
 def forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier(spark, sf_dir).leaf_ids(rows(spark, sf_dir), "k")
+    df = rows(spark, sf_dir)
+    return classifier(df).leaf_ids(df, "k")
 
 
 @query()
 def forest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier(spark, sf_dir, n_estimators=2, max_depth=3).path_of(rows(spark, sf_dir), "k")
+    df = rows(spark, sf_dir)
+    return classifier(df, n_estimators=2, max_depth=3).path_of(df, "k")
 
 
 @query(f"{forest(CLASSIFY)}, tops AS (SELECT tree, max(depth) AS top FROM nodes GROUP BY 1), up AS (SELECT tree, path AS up, node_id AS parent FROM nodes) SELECT CAST(tree AS INTEGER) AS tree, CAST(node_id AS INTEGER) AS node_id, path, CAST(depth AS INTEGER) AS depth, CAST(coalesce(parent, -1) AS INTEGER) AS parent, leaf AS is_leaf, n_train AS n_samples_train, n_valid AS n_samples_valid, CAST(coalesce(f, -1) AS INTEGER) AS feature, CAST(coalesce(bin, -1) AS INTEGER) AS bin_threshold, coalesce(array_to_string(bins_left, ','), '') AS bin_partition, round(coalesce(gain, 0), 3) AS gain, round(loss, 3) AS loss, round(lw, 3) AS log_weight, round(m0, 3) AS m0, round(y1, 6) AS y1, CAST(top - depth AS INTEGER) AS y FROM nodes JOIN tops USING (tree) LEFT JOIN up USING (tree, up)".replace("LEFT JOIN up USING (tree, up)", "LEFT JOIN up ON up.tree = nodes.tree AND depth > 0 AND up.up = substr(path, 1, depth - 1)").replace("SELECT CAST(tree AS", "SELECT CAST(nodes.tree AS"))
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = classifier(spark, sf_dir)
+    model = classifier(rows(spark, sf_dir))
     at = model.nodes.join(model.layout(), ["tree", "node_id"])
     none = lambda c: F.coalesce(F.col(c), F.lit(-1))
     return at.select("tree", F.col("node_id").cast("int").alias("node_id"), "path", "depth", none("parent").cast("int").alias("parent"), "is_leaf", "n_samples_train", "n_samples_valid", none("feature").alias("feature"), none("bin_threshold").alias("bin_threshold"), F.coalesce(F.array_join(F.col("bin_partition").cast("array<string>"), ","), F.lit("")).alias("bin_partition"), F.round(F.coalesce("gain", F.lit(0.0)), 3).alias("gain"), F.round("loss_valid", 3).alias("loss"), F.round("log_weight_tree", 3).alias("log_weight"), F.round(F.get("w_train_k", 0), 3).alias("m0"), r6(F.get("y_pred", 1)).alias("y1"), F.col("y").cast("int").alias("y"))
@@ -498,7 +503,7 @@ def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir)
     coded = df.withColumn("code", sampling.label_code("l_returnflag", ["A", "N", "R"]))
-    return metrics.what_if(classifier(spark, sf_dir), coded, "k", "code", [0.1, 1.0], [0.5, 5.0]).withColumn("log_loss", r6("log_loss"))
+    return metrics.what_if(classifier(df), coded, "k", "code", [0.1, 1.0], [0.5, 5.0]).withColumn("log_loss", r6("log_loss"))
 
 
 @query()
