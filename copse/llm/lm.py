@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import dropped, fold, run_hashes, slices, stored, strings, text_bytes, tidy, word_spans
 
 #: Bytes of text in a block, about; one text is never cut.
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 #: Hashes of the end, which counts as a token, and of the start, which doesn't.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Counts are told apart in so many steps, BINS to a factor of two, to find the growth of successors.
