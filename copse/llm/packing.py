@@ -172,6 +172,7 @@ def packed(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     waiting = 0
         if waiting:
             yield from flush()
+        own.clear()  # the worker lives on, and a task learns more words than are kept
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (1 << 62) | TaskContext.get().partitionId() << 36
