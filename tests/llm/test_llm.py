@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 from itertools import combinations
 from zlib import crc32
 
@@ -227,6 +228,63 @@ def test_representatives_at_similarity(spark, monkeypatch, paired):
     assert resemblance.representatives(df.where("false")).count() == 0
 
 
+def test_large_group_of_near_copies_is_linear(spark, monkeypatch):
+    """Rows that are compared grow as the group, not as its square, and the components are those of all pairs."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        other = list(base)
+        for _ in range(i % 9):
+            other[rnd.randrange(150)] = f"x{rnd.randrange(100_000)}"
+        texts.append(" ".join(other))
+    rows = []
+    real = resemblance.verified
+
+    def counted(pairs, *others):
+        rows.append(pairs.count())
+        return real(pairs, *others)
+
+    monkeypatch.setattr(resemblance, "verified", counted)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert 20 < len(set(root)) < 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in resemblance.representatives(df).collect()) == sorted(set(root))
+    assert sum(rows) <= 20 * len(texts), rows
+
+
+@pytest.mark.parametrize("words", [40, 4000])
+def test_crossing_joins_what_is_alike(words):
+    """Few words: most hashes are held by many sets; many words: by few."""
+    rng = np.random.default_rng(words)
+    least = Fraction(3, 5)
+    sets = []
+    for _ in range(30):
+        own = rng.choice(words, rng.integers(8, 30), replace=False)
+        for _ in range(rng.integers(1, 5)):
+            own = np.unique(np.append(own[1:], rng.integers(0, words)))
+            sets.append(np.unique((own.astype(np.uint64) + np.uint64(1)) << np.uint64(30)))
+    entries = [(i, i % (len(sets) // 2), resemblance.closed(x)) for i, x in enumerate(sets)]
+    ahead, others = entries[::3], entries
+
+    def components(edges):
+        of = {r: r for _, r, _ in entries}
+        for a, b in edges:
+            a, b = of[entries[a][1]], of[entries[b][1]]
+            of = {r: a if x == b else x for r, x in of.items()}
+        return {frozenset(r for r in of if of[r] == x) for x in of.values()}, len(set(of.values()))
+
+    want = [(a, b) for a, _, x in ahead for b, _, y in others if resemblance.alike(x, y, least)]
+    got = resemblance.crossing(ahead, others, least)
+    assert set(got) <= set(want) and components(got) == components(want)
+    assert len(got) == len({r for _, r, _ in entries}) - components(want)[1] > 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 8)).astype(np.float32)
