@@ -75,16 +75,40 @@ def shared_bytes(a: str, b: str) -> Column:
     return sum((F.when(byte_at(x, i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
 
 
+def pair_masks() -> list[tuple[int, list[int]]]:
+    """For each choice of two of the four groups of two positions: the mask of their bits, and the other four positions."""
+    out = []
+    for groups in combinations(range(4), 2):
+        mask = sum(0xFFFF << (16 * g) for g in groups)
+        out.append((mask - (1 << 64) if mask >> 63 else mask, [i for i in range(8) if i // 2 not in groups]))
+    return out
+
+
+def tallied(posts: DataFrame, least: int) -> DataFrame:
+    """Rows (k, a, b, hits), a < b: the pairs that meet in `least` or more of the 8 byte positions' posting lists.
+
+    posts: (k, key, fp), where the fingerprints of one k and key share the four positions of mask k. These are four hits;
+    each fingerprint is filed under its byte at each of the other positions, a pair's further hits are the lists that hold
+    both, and pairs without enough hits go before any bits are compared. With least over 4, pairs without a further hit
+    aren't even made.
+    """
+    other = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), byte_at(F.col("fp"), i).alias("byte")) for i in rest)) for _, rest in pair_masks()))
+    filed = posts.select("k", "key", "fp", F.explode(F.element_at(other, F.col("k") + 1)).alias("at")).select("k", "key", "at.i", "at.byte", "fp")
+    lists = filed.groupBy("k", "key", "i", "byte").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    pairs = lists.select("k", F.posexplode("fps").alias("place", "a"), "fps").select("k", "a", F.explode(F.slice("fps", F.col("place") + 2, PAIRED)).alias("b"))
+    return pairs.groupBy("k", "a", "b").agg((F.count(F.lit(1)) + 4).alias("hits")).where(F.col("hits") >= least)
+
+
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, whose graph has the components of all pairs of distinct fingerprints that differ in at most
     `distance` bits (0 to 2).
 
-    Such a pair has different bytes in at most `distance` of 8 positions, so it must share 8 - distance: that is the
-    least count of the tally. One posting list for each byte of each position would grow as the number of fingerprints
-    and give its square of pairs, so the lists of several positions are intersected beforehand: the positions are four
-    groups of two, and any pair that can reach the count shares two whole groups, so it meets under at least one of
-    their six combinations, each of 32 bits. In such a posting, pairs are made, their shared positional bytes tallied,
-    those with too few dropped, and the rest verified bit by bit.
+    Such a pair has different bytes in at most `distance` of 8 positions, so it must meet in 8 - distance of the posting
+    lists by byte and position: that is the least count of the tally. A list of one byte would hold a 256th of all
+    fingerprints and the lists give the square of that in pairs, so those of several positions are intersected beforehand:
+    the positions are four groups of two, and any pair that can reach the count shares two whole groups, so it meets under
+    at least one of their six combinations, each of 32 bits. Within such a posting the lists of the other positions are
+    made, and a pair's hits in them are counted (see tallied); only pairs with enough hits are verified bit by bit.
 
     A posting with more than PAIRED fingerprints, as of a large group of near copies, isn't paired. There each
     fingerprint is filed under itself and under the 32 changes of one bit outside the shared bytes: two fingerprints
@@ -93,17 +117,11 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     stay linear in the number of fingerprints, and every link within the posting is still found.
     """
     least = 8 - distance
-    masks = []
-    for groups in combinations(range(4), 2):
-        mask = 0
-        for g in groups:
-            mask |= 0xFFFF << (16 * g)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    masks = [m for m, _ in pair_masks()]
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("p")).select("fp", "p.k", "p.key")
     sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     posts = stored(keyed.join(sizes, ["k", "key"]), "postings")
-    short = posts.where(F.col("n") <= PAIRED).groupBy("k", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = short.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("i") + 2, PAIRED)).alias("b"))
+    pairs = tallied(posts.where(F.col("n") <= PAIRED), least).select("a", "b").distinct()
 
     flips = [F.array(*(F.lit(0) if x < 0 else F.lit(1 << x if x < 63 else -(1 << 63)) for x in [-1, *(i for i in range(64) if not (m >> i) & 1)])) for m in masks]
     changed = F.element_at(F.array(*flips), F.col("k") + 1)
@@ -115,8 +133,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     else:
         near = groups.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("i") + 2, PAIRED)).alias("b"))
     return (
-        pairs.union(near)
-        .where(shared_bytes("a", "b") >= least)
+        pairs.union(near.where(shared_bytes("a", "b") >= least))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )

@@ -196,6 +196,19 @@ def test_links_find_every_component(spark, monkeypatch, paired):
         assert {got.get(x, x) for x in g} == {min(g)} if len(g) > 1 else True
 
 
+def test_byte_positions_are_tallied(spark):
+    rnd = random.Random(4)
+    key = 0x1122334400000000  # under mask 5, positions 4 to 7
+    fps = sorted({key | int.from_bytes(bytes(rnd.randrange(3) for _ in range(4)), "little") for _ in range(40)})
+    alone = key + (1 << 60)
+    df = spark.createDataFrame([(5, key, x) for x in fps] + [(5, alone, alone | x & 0xFFFFFFFF) for x in fps[:1]], "k int, key long, fp long")
+    shared = {(a, b): sum(a >> 8 * i & 255 == b >> 8 * i & 255 for i in range(8)) for a, b in combinations(fps, 2)}
+    assert len({*shared.values()}) == 4  # 4 to 7
+    for least in (5, 6, 7):
+        got = {(r.a, r.b): r.hits for r in simhash.tallied(df, least).collect()}
+        assert got == {p: n for p, n in shared.items() if n >= least}
+
+
 @pytest.mark.parametrize("paired", [64, 2])
 def test_representatives_at_similarity(spark, monkeypatch, paired):
     monkeypatch.setattr(resemblance, "PAIRED", paired)
