@@ -298,6 +298,18 @@ def test_crossing_joins_what_is_alike(words):
     assert len(got) == len({r for _, r, _ in entries}) - components(want)[1] > 0
 
 
+def test_sets_with_one_passage_in_common_go_first():
+    rng = np.random.default_rng(8)
+    passage = np.arange(20, dtype=np.uint64)
+    sets = [np.append(passage, rng.integers(100, 1 << 30, 60).astype(np.uint64)) for _ in range(200)]
+    sets += [np.append(sets[7][:-2], np.arange(50, 52, dtype=np.uint64)), np.append(sets[9][:-2], np.arange(60, 62, dtype=np.uint64))]
+    entries = [(i, 7 if i in (7, 200) else i, resemblance.closed(np.unique(x) << np.uint64(30))) for i, x in enumerate(sets)]
+    least = Fraction(4, 5)
+    # 7 and 200 are of one component already.
+    assert sorted(i for i, *_ in resemblance.foreign(entries, entries, least)) == [9, 201]
+    assert {frozenset(p) for p in resemblance.crossing(entries, entries, least)} == {frozenset((9, 201))}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 8)).astype(np.float32)
