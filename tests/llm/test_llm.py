@@ -271,6 +271,27 @@ def test_large_group_of_near_copies_is_linear(spark, monkeypatch):
     assert sum(rows) <= 20 * len(texts), rows
 
 
+def test_passages_make_no_groups_in_many_documents(spark, monkeypatch):
+    """The order of shingles is taken from a share of the documents, so that passages of many stay out of the prefixes."""
+    rnd = random.Random(21)
+    passages = [[f"p{k}_{i}" for i in range(20)] for k in range(10)]
+    texts = [" ".join([*passages[i % 10], *(f"w{rnd.randrange(1_000_000)}" for _ in range(60))]) for i in range(1500)]
+    texts += [texts[3] + " more", texts[8] + " more"]
+    long = []
+    real = resemblance.candidates
+
+    def counted(*given):
+        met = real(*given)
+        long.append(met.where("kind = 1").count())
+        return met
+
+    monkeypatch.setattr(resemblance, "candidates", counted)
+    monkeypatch.setattr(resemblance, "SAMPLE", 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in resemblance.representatives(df).collect()) == list(range(1500))
+    assert long == [0]
+
+
 @pytest.mark.parametrize("words", [40, 4000])
 def test_crossing_joins_what_is_alike(words):
     """Few words: most hashes are held by many sets; many words: by few."""
