@@ -33,7 +33,8 @@ class Rules:
 
 
 def grow(assign: DataFrame, rules: Rules) -> DataFrame:
-    """The nodes of all trees. assign: a row for each tree and row, with tree, path (empty), is_train, w, y and bins.
+    """The nodes of all trees. assign: a row for each tree and row, with tree, path (empty), is_train, w, y and bins;
+    or one for n rows alike in all but w, with their sum of w, and for mse those of wy and wyy in place of y.
 
     Each round works on all nodes of one depth: their totals, which of them are to be split, histograms over the features
     drawn for them, the best splits, and the rows' way to the children. The rows of finished nodes drop out. A node is

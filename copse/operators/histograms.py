@@ -20,17 +20,27 @@ def moments_of(criterion: str, n_classes: int, w: str = "w", y: str = "y") -> li
     return [F.when(F.col(y) == k, F.col(w)).otherwise(0.0) for k in range(n_classes)]
 
 
+def sums_of(rows: DataFrame, criterion: str, n_classes: int) -> list[Column]:
+    """moments_of(); rows that stand for several have wy and wyy if the criterion is mse (see Forest.fit)."""
+    return [F.col("w"), F.col("wy"), F.col("wyy")] if "wyy" in rows.columns else moments_of(criterion, n_classes)
+
+
+def rows_where(rows: DataFrame, side: Column) -> Column:
+    """How many rows are on a side; a row may stand for n."""
+    return F.sum(F.when(side, F.col("n")).otherwise(0)) if "n" in rows.columns else F.count_if(side)
+
+
 def names_of(criterion: str, n_classes: int) -> list[str]:
     return [f"m{i}" for i in range(3 if criterion == "mse" else n_classes)]
 
 
 def node_totals(assign: DataFrame, criterion: str, n_classes: int) -> DataFrame:
     """A row for each node: rows and weights in and out of the bag, and the moments of either (arrays)."""
-    parts = moments_of(criterion, n_classes)
+    parts = sums_of(assign, criterion, n_classes)
     inside = F.col("is_train")
     return assign.groupBy(*NODE).agg(
-        F.count_if(inside).alias("n_samples_train"),
-        F.count_if(~inside).alias("n_samples_valid"),
+        rows_where(assign, inside).alias("n_samples_train"),
+        rows_where(assign, ~inside).alias("n_samples_valid"),
         F.sum(F.when(inside, F.col("w")).otherwise(0.0)).alias("w_samples_train"),
         F.sum(F.when(~inside, F.col("w")).otherwise(0.0)).alias("w_samples_valid"),
         F.array(*(F.sum(F.when(inside, p).otherwise(0.0)) for p in parts)).alias("w_train_k"),
@@ -43,12 +53,12 @@ def histograms(rows: DataFrame, criterion: str, n_classes: int) -> DataFrame:
 
     Spark sums each task's rows up before the shuffle, so what is shuffled is bounded by nodes, features and bins.
     """
-    parts = moments_of(criterion, n_classes)
+    parts = sums_of(rows, criterion, n_classes)
     inside = F.col("is_train")
-    cells = rows.select(*NODE, "is_train", "w", "y", "bins", F.posexplode("features").alias("f_rank", "feature")).withColumn("bin", F.get("bins", F.col("feature")))
+    cells = rows.select(*NODE, "is_train", *(c for c in ("n", "w", "y", "wy", "wyy") if c in rows.columns), "bins", F.posexplode("features").alias("f_rank", "feature")).withColumn("bin", F.get("bins", F.col("feature")))
     return cells.groupBy(*NODE, "feature", "f_rank", "bin").agg(
-        F.count_if(inside).alias("n_train"),
-        F.count_if(~inside).alias("n_valid"),
+        rows_where(rows, inside).alias("n_train"),
+        rows_where(rows, ~inside).alias("n_valid"),
         F.sum(F.when(~inside, F.col("w")).otherwise(0.0)).alias("w_valid"),
         *(F.sum(F.when(inside, p).otherwise(0.0)).alias(m) for p, m in zip(parts, names_of(criterion, n_classes), strict=True)),
     )

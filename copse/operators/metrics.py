@@ -145,10 +145,14 @@ def drawn_settings(spark: object, n: int, seed: int = 0, **axes: list) -> DataFr
 def what_if(model: object, df: DataFrame, key: str, label_code: str, steps: list[float], dirichlets: list[float]) -> DataFrame:
     """(step, dirichlet, log_loss) of a classifier for each pair of settings, without growing a tree again.
 
-    Rows are taken to their leaves once; what differs between settings is worked out from nodes, and joined by leaf.
+    Rows alike in bins are taken to their leaves once; what differs between settings is worked out from nodes, and joined by
+    leaf. Rows are then counted by bins and label.
     """
     leaves = model.leaves_for(steps, dirichlets)
-    at = model.apply(df.select("*"), key).join(F.broadcast(leaves), ["tree", "path"])
-    mean = at.groupBy(key, "step", "dirichlet").agg(*(F.avg(F.get("prediction", i)).alias(f"p{i}") for i in range(model.n_classes)))
-    got = mean.select(key, "step", "dirichlet", F.array(*(f"p{i}" for i in range(model.n_classes))).alias("probabilities")).join(df.select(key, label_code), key)
-    return got.groupBy("step", "dirichlet").agg(F.avg(-F.log(likelihood(label_code, "probabilities"))).alias("log_loss"))
+    coded = model.encoder.transform(df).select("bins", label_code)
+    at = model.of_bins(coded).join(F.broadcast(leaves), ["tree", "path"])
+    mean = at.groupBy("bins", "step", "dirichlet").agg(*(F.avg(F.get("prediction", i)).alias(f"p{i}") for i in range(model.n_classes)))
+    mean = mean.select("bins", "step", "dirichlet", F.array(*(f"p{i}" for i in range(model.n_classes))).alias("probabilities"))
+    counts = coded.where(F.col(label_code).isNotNull()).groupBy("bins", label_code).agg(F.count(F.lit(1)).alias("n"))
+    loss = -F.log(likelihood(label_code, "probabilities"))
+    return mean.join(counts, "bins").groupBy("step", "dirichlet").agg((F.sum(loss * F.col("n")) / F.sum("n")).alias("log_loss"))

@@ -6,12 +6,15 @@ import math
 from collections.abc import Sequence
 from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.hashing import hash48
 
+#: Trees whose draws of a row are counted in one long, with so many bits each: a row drawn 4096 times has a chance under 10 ** -13000.
+PACKED, BITS = 5, 12
+
 
 def classes_of(df: DataFrame, label: str) -> list:
     """The distinct labels, sorted; there should be no more than classes."""
@@ -57,12 +60,30 @@ def bootstrap(df: DataFrame, n_rows: int, trees: int, seed: int, id_col: str = "
     Draws are hashes of (seed, tree, draw), so that a rerun draws the same rows. df has dense ids from 0. The draws are
     counted map-side before they are shuffled.
     """
-    draws = df.select(F.col(id_col).alias("draw")).crossJoin(F.broadcast(df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))))
+    return draws(df.select(F.col(id_col).alias("draw")), n_rows, trees, seed, id_col).groupBy("tree", id_col).agg(F.count(F.lit(1)).cast("int").alias("n_drawn"))
+
+
+def draws(numbers: DataFrame, n_rows: int, trees: int, seed: int, id_col: str = "row_id") -> DataFrame:
+    """A row (tree, id) for each tree and each number (draw)."""
+    each = numbers.crossJoin(F.broadcast(numbers.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))))
     h = hash48(seed, F.col("tree"), F.col("draw"))
     for tree, attempt in redrawn(n_rows, trees, seed).items():
         h = F.when(F.col("tree") == tree, hash48(seed, F.col("tree"), F.col("draw"), attempt)).otherwise(h)
-    hit = F.pmod(h, F.lit(n_rows)).alias(id_col)
-    return draws.select("tree", hit).groupBy("tree", id_col).agg(F.count(F.lit(1)).cast("int").alias("n_drawn"))
+    return each.select("tree", F.pmod(h, F.lit(n_rows)).alias(id_col))
+
+
+def drawn_by_row(spark: SparkSession, n_rows: int, trees: int, seed: int) -> tuple[DataFrame, Column]:
+    """A row for each row_id that any tree draws, and a column over it: an array of how often each tree draws it.
+
+    Counts of PACKED trees share a long. Draws are shuffled by row alone, a row and tree being drawn about once.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = draws(spark.range(n_rows).select(F.col("id").alias("draw")), n_rows, trees, seed).repartition(tasks, "row_id")
+    one = F.get(F.array(*(F.lit(1 << i * BITS).cast("long") for i in range(PACKED))), F.col("tree") % PACKED)
+    packs = range(-(-trees // PACKED))
+    got = each.groupBy("row_id").agg(*(F.sum(F.when(F.floor(F.col("tree") / PACKED) == g, one).otherwise(0)).alias(f"_drawn{g}") for g in packs))
+    count = lambda t: F.shiftright(F.coalesce(f"_drawn{t // PACKED}", F.lit(0)), t % PACKED * BITS).bitwiseAND((1 << BITS) - 1).cast("int")
+    return got, F.array(*(count(t) for t in range(trees)))
 
 
 def bags(df: DataFrame, n_rows: int, trees: int, seed: int, id_col: str = "row_id") -> DataFrame:

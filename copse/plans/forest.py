@@ -89,22 +89,48 @@ class _Forest:
             good = good.join(F.broadcast(sampling.balanced_weights(good, "_y")), "_y").withColumn("_w", F.col("_w") * F.col("class_weight"))
         encoder = Encoder(max_bins=p.max_bins, is_categorical=categorical_features if categorical_features is not None else p.categorical_features, subsample=p.subsample, cat_min_categories=p.cat_min_categories, handle_unknown=p.handle_unknown, seed=p.random_state).fit(good, names)
         coded = encoder.transform(good.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*names, key])), "_y", "_w"))
-        rows = stored(numbered(coded.select(key, F.col("_y").alias("y"), F.col("_w").alias("w"), "bins"), [key]).select("row_id", "y", "w", "bins"), "rows")
-        n = rows.count()
+        coded = coded.select(key, F.col("_y").alias("y"), F.col("_w").alias("w"), "bins")
+        n, dense = dense_key(good, key)
         if not n:
             raise ValueError("There are no labelled rows")
         ovr = p.multiclass == "ovr" and len(classes) > 2
-        bag = sampling.bags(rows, n, p.n_estimators, p.random_state)
+        rows = coded.withColumn("row_id", F.col(key).cast("long")) if dense else numbered(coded, [key])
+        bag = self.bag(rows.select("row_id", "y", "w", "bins"), n)
         if ovr:  # tree numbers count the classes' trees one after another; trees of one number share their bag
             k = F.explode(F.sequence(F.lit(0), F.lit(len(classes) - 1)))
             bag = bag.withColumn("k", k).withColumn("y", (F.col("y") == F.col("k")).cast("int")).withColumn("tree", F.col("k") * p.n_estimators + F.col("tree")).drop("k")
-        drawn = F.col("n_drawn") > 0
-        assign = bag.select("tree", F.lit("").alias("path"), drawn.alias("is_train"), (F.col("w") * F.when(drawn, F.col("n_drawn")).otherwise(1)).alias("w"), "y", "bins")
+        assign = bag.withColumn("path", F.lit(""))
         n_classes = 0 if p.criterion == "mse" else 2 if ovr else max(2, len(classes))
         rules = Rules(p.criterion, n_classes, encoder.categorical, sampling.max_features(p.max_features, len(names)), p.max_depth, p.min_samples_split, p.min_samples_leaf, p.aggregation, p.cat_split_strategy, p.randomized_depth, p.dirichlet, p.random_state)
         nodes = grow(stored(assign, "assigned"), rules)
         return ForestModel(p, encoder, classes, nodes, n, n_classes)
 
+    def bag(self, rows: DataFrame, n: int) -> DataFrame:
+        """The rows of each tree, in its bag (is_train) and out of it, summed up over rows alike in bins and class: of those
+        there are no more than the bins can make, however many rows there are.
+
+        Rows are dealt by bins, so that most sums are made within a task; a task that gets too many is split.
+        """
+        p = self.params
+        drawn, counts = sampling.drawn_by_row(rows.sparkSession, n, p.n_estimators, p.random_state)
+        alike = ["bins"] if p.criterion == "mse" else ["bins", "y"]
+        met = rows.join(drawn, "row_id", "left").select("bins", "y", "w", counts.alias("drawn")).hint("rebalance", *(F.col(c) for c in alike))
+        each = met.select("bins", "y", "w", F.posexplode("drawn").alias("tree", "n_drawn")).withColumn("is_train", F.col("n_drawn") > 0)
+        each = each.withColumn("w", F.col("w") * F.greatest("n_drawn", F.lit(1)))
+        more = [F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy")] if p.criterion == "mse" else []
+        return each.groupBy("tree", "is_train", *alike).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), *more)
+
+
+def dense_key(df: DataFrame, key: str) -> tuple[int, bool]:
+    """How many rows there are, and whether their keys are the numbers from 0 on, each once, so that rows are numbered already."""
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    if not whole:
+        return df.count(), False
+    told = lambda c: (F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.sum(c.cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(c)).alias("hash"))
+    got = df.agg(F.count(F.lit(1)).alias("rows"), *told(F.col(f"`{key}`").cast("long"))).first()
+    n = got["rows"]
+    return n, n > 0 and got[1:] == df.sparkSession.range(n).agg(*told(F.col("id"))).first()[:]
+
 
 class ForestClassifier(_Forest):
     """fit(df, label, key=...) gives a model; see Params for the settings."""
@@ -158,49 +184,76 @@ class ForestModel:
         keys = ("tree", "step", "dirichlet")
         return leaf_predictions(log_weights(nodes, F.col("step"), keys), F.col("step"), self.params.aggregation, keys)
 
-    def apply(self, df: DataFrame, key: str, *, bins: bool = False) -> DataFrame:
-        """A row (key, tree, path) for each row and tree, at its leaf."""
+    def coded(self, df: DataFrame, key: str) -> DataFrame:
+        return self.encoder.transform(df).select(F.col(key), "bins")
+
+    def of_bins(self, coded: DataFrame) -> DataFrame:
+        """A row (bins, tree, path) for each tree and all distinct bins, at their leaf: rows alike in bins go one way."""
         trees = self.nodes.select("tree").distinct()
-        at = self.encoder.transform(df).select(F.col(key), "bins").crossJoin(F.broadcast(trees)).withColumn("path", F.lit(""))
+        at = coded.select("bins").distinct().crossJoin(F.broadcast(trees)).withColumn("path", F.lit(""))
         splits = self.nodes.where(~F.col("is_leaf")).select(*NODE, "depth", "feature", "bin_threshold", "is_split_categorical", "bin_partition")
         sizes = {r.depth: r["count"] for r in splits.groupBy("depth").count().collect()}
         for d in range(self.depth):
             level = splits.where(F.col("depth") == d).drop("depth")
             step = F.when(F.col("feature").isNull(), F.lit("")).when(goes_left(F.get("bins", F.col("feature"))), F.lit("1")).otherwise(F.lit("0"))
-            at = at.join(sent_if_small(level, sizes.get(d, 0)), NODE, "left").select(key, "bins", "tree", F.concat("path", step).alias("path"))
+            at = at.join(sent_if_small(level, sizes.get(d, 0)), NODE, "left").select("bins", "tree", F.concat("path", step).alias("path"))
             if d % LEVELS == LEVELS - 1 and d + 1 < self.depth:
                 at = stored(at, "routed")
+        return at
+
+    def leaves_of_bins(self, coded: DataFrame) -> DataFrame:
+        return self.of_bins(coded).join(sent_if_small(self.leaves, self.leaves.count()), NODE)
+
+    def told(self, coded: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows with what was found of their bins, of which found has a row each."""
+        found = stored(found, "found")
+        return coded.join(sent_if_small(found, found.count()), "bins")
+
+    def told_each(self, coded: DataFrame, found: DataFrame) -> DataFrame:
+        """The same where found has several rows of the same bins."""
+        one = found.groupBy("bins").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "bins"))).alias("_each"))
+        got = self.told(coded, one)
+        kept = [c for c in got.columns if c != "_each"]
+        return got.select(*kept, F.explode("_each").alias("_one")).select(*kept, "_one.*")
+
+    def apply(self, df: DataFrame, key: str, *, bins: bool = False) -> DataFrame:
+        """A row (key, tree, path) for each row and tree, at its leaf."""
+        coded = self.coded(df, key)
+        at = self.told_each(coded, self.of_bins(coded)).select(key, "bins", "tree", "path")
         return at if bins else at.drop("bins")
 
     def leaf_ids(self, df: DataFrame, key: str) -> DataFrame:
         """(key, tree, leaf_id)."""
-        return self.at_leaves(df, key).select(key, "tree", "leaf_id")
+        coded = self.coded(df, key)
+        return self.told_each(coded, self.leaves_of_bins(coded).select("bins", "tree", "leaf_id")).select(key, "tree", "leaf_id")
 
     def at_leaves(self, df: DataFrame, key: str) -> DataFrame:
-        n = self.leaves.count()
-        return self.apply(df, key).join(sent_if_small(self.leaves, n), NODE)
+        coded = self.coded(df, key)
+        return self.told_each(coded, self.leaves_of_bins(coded)).drop("bins")
 
     def predict_trees(self, df: DataFrame, key: str) -> DataFrame:
         """(key, tree, prediction) for each row and tree."""
-        return self.at_leaves(df, key).select(key, "tree", "prediction")
+        coded = self.coded(df, key)
+        return self.told_each(coded, self.leaves_of_bins(coded).select("bins", "tree", "prediction")).select(key, "tree", "prediction")
 
     def predict_proba(self, df: DataFrame, key: str) -> DataFrame:
         """(key, probabilities): the mean over trees; with a forest for each class, the classes' own shares, scaled to sum 1,
         or even ones if all are 0."""
-        each = self.predict_trees(df, key)
+        coded = self.coded(df, key)
+        each = self.leaves_of_bins(coded)
         k = len(self.classes)
         if not self.ovr:
-            mean = each.groupBy(key).agg(*(F.avg(F.get("prediction", i)).alias(f"p{i}") for i in range(self.n_classes)))
-            return mean.select(key, F.array(*(F.col(f"p{i}") for i in range(max(k, 1)))).alias("probabilities"))
+            mean = each.groupBy("bins").agg(*(F.avg(F.get("prediction", i)).alias(f"p{i}") for i in range(self.n_classes)))
+            return self.told(coded, mean).select(key, F.array(*(F.col(f"p{i}") for i in range(max(k, 1)))).alias("probabilities"))
         of = F.floor(F.col("tree") / self.params.n_estimators)
-        sums = each.groupBy(key).agg(*(F.sum(F.when(of == i, F.get("prediction", 1)).otherwise(0.0)).alias(f"p{i}") for i in range(k)))
+        sums = each.groupBy("bins").agg(*(F.sum(F.when(of == i, F.get("prediction", 1)).otherwise(0.0)).alias(f"p{i}") for i in range(k)))
         total = sum((F.col(f"p{i}") for i in range(k)), F.lit(0.0))
-        return sums.select(key, F.array(*(F.when(total > 1.2e-7, F.col(f"p{i}") / total).otherwise(1.0 / k) for i in range(k))).alias("probabilities"))
+        return self.told(coded, sums).select(key, F.array(*(F.when(total > 1.2e-7, F.col(f"p{i}") / total).otherwise(1.0 / k) for i in range(k))).alias("probabilities"))
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         """(key, prediction): the label of highest probability, the first of ties; or the mean over trees."""
         if self.params.criterion == "mse":
-            return self.predict_trees(df, key).groupBy(key).agg(F.avg(F.get("prediction", 0)).alias("prediction"))
+            return self.means(df, key).select(key, "prediction")
         labels = F.array(*(F.lit(c) for c in self.classes))
         p = F.col("probabilities")
         return self.predict_proba(df, key).select(key, F.get(labels, (F.array_position(p, F.array_max(p)) - 1).cast("int")).alias("prediction"), "probabilities")
@@ -214,18 +267,26 @@ class ForestModel:
 
     def weighted_depth(self, df: DataFrame, key: str) -> DataFrame:
         """(key, weighted_depth): the depth averaged as predictions are, and over trees."""
-        return self.at_leaves(df, key).groupBy(key).agg(F.avg("weighted_depth").alias("weighted_depth"))
+        return self.means(df, key).select(key, "weighted_depth")
+
+    def means(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, prediction, weighted_depth): the means over trees of a prediction's first number and of the weighted depth."""
+        coded = self.coded(df, key)
+        found = self.leaves_of_bins(coded).groupBy("bins").agg(F.avg(F.get("prediction", 0)).alias("prediction"), F.avg("weighted_depth").alias("weighted_depth"))
+        return self.told(coded, found).select(key, "prediction", "weighted_depth")
 
     def path_of(self, df: DataFrame, key: str) -> DataFrame:
         """(key, tree, depth, node_id, decision): how each row comes to its leaf."""
-        at = self.apply(df, key).withColumn("leaf", F.col("path"))
+        coded = self.coded(df, key)
+        at = self.of_bins(coded).withColumn("leaf", F.col("path"))
         steps = at.withColumn("path", F.explode(F.transform(F.sequence(F.lit(0), F.length("leaf")), lambda d: F.substring(F.col("leaf"), F.lit(1), d))))
         names = F.array(*(F.lit(c) for c in self.encoder.names))
         left = F.substring(F.col("leaf"), F.length("path") + 1, F.lit(1)) == "1"
         numeric = F.format_string("%s %s %s", F.get(names, F.col("feature")), F.when(left, "<=").otherwise(">"), self.threshold())
         named = F.format_string("%s %s {%s}", F.get(names, F.col("feature")), F.when(left, "in").otherwise("not in"), F.concat_ws(", ", F.col("bin_partition").cast("array<string>")))
         text = F.when(F.col("is_leaf"), "leaf").when(F.col("is_split_categorical"), named).otherwise(numeric)
-        return steps.join(sent_if_small(self.nodes, self.nodes.count()), NODE).select(key, "tree", "depth", "node_id", text.alias("decision"))
+        found = steps.join(sent_if_small(self.nodes, self.nodes.count()), NODE).select("bins", "tree", "depth", "node_id", text.alias("decision"))
+        return self.told_each(coded, found).select(key, "tree", "depth", "node_id", "decision")
 
     def threshold(self) -> Column:
         """The value that a numeric split compares with."""

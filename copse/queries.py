@@ -474,9 +474,7 @@ def forest_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{forest(REGRESS)} SELECT row_id AS k, round(p0, 5) AS prediction, round(wd, 4) AS weighted_depth FROM ({mean_prediction(REGRESS)})")
 def forest_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir)
-    at = regressor(df).at_leaves(df, "k")
-    got = at.groupBy("k").agg(F.avg(F.get("prediction", 0)).alias("prediction"), F.avg("weighted_depth").alias("weighted_depth"))
-    return got.select("k", F.round("prediction", 5).alias("prediction"), F.round("weighted_depth", 4).alias("weighted_depth"))
+    return regressor(df).means(df, "k").select("k", F.round("prediction", 5).alias("prediction"), F.round("weighted_depth", 4).alias("weighted_depth"))
 
 
 @query(f"{forest(CLASSIFY)} SELECT row_id AS k, CAST(tree AS INTEGER) AS tree, CAST(node_id AS INTEGER) AS leaf_id FROM at_leaf")

@@ -11,6 +11,7 @@ from copse.functions import checks, storage
 from copse.operators import aggregation, metrics
 from copse.operators.encoder import Encoder, fit_transform
 from copse.operators.sampling import bootstrap, label_code, max_features, redrawn
+from copse.plans import forest as forest_plan
 from copse.plans.forest import ForestClassifier, ForestModel, ForestRegressor, Params
 from copse.sources.tables import REGISTRY, read_csv, read_svmlight, write_csv
 
@@ -182,6 +183,29 @@ def test_a_bag_leaves_a_row_out(spark):
     assert len(sizes) == 40 and max(sizes.values()) < 3 and redrawn(1, 5, 0) == {}
 
 
+def test_rows_alike_are_grown_as_one(spark, monkeypatch):
+    """What trees are grown from is bounded by bins and classes, and stands for every row of each tree."""
+    made = []
+
+    def stop(assign, rules):
+        made.append(assign)
+        raise InterruptedError
+
+    monkeypatch.setattr(forest_plan, "grow", stop)
+    df = spark.range(2000).select("id", (F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    with pytest.raises(InterruptedError):
+        ForestClassifier(n_estimators=4, categorical_features=[False]).fit(df, "y", key="id")
+    rows = made[0].collect()
+    assert len(rows) <= 4 * 2 * 3 * 2
+    for t in range(4):
+        of = [r for r in rows if r.tree == t]
+        assert sum(r.n for r in of) == 2000 == sum(r.w for r in of if r.is_train)
+    want = {(r.tree, r.row_id % 3, r.row_id % 2): 0 for r in bootstrap(spark.range(2000).withColumnRenamed("id", "row_id"), 2000, 4, 0).collect()}
+    for r in bootstrap(spark.range(2000).withColumnRenamed("id", "row_id"), 2000, 4, 0).collect():
+        want[r.tree, r.row_id % 3, r.row_id % 2] += r.n_drawn
+    assert {(r.tree, r.bins[0], r.y): r.w for r in rows if r.is_train} == want
+
+
 def test_fit_transform_is_fit_then_transform(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("x"))
     model, coded = fit_transform(Encoder(max_bins=5, is_categorical=[False]), df)
